@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import mixing, quantiles, tokenizer
+from palaver.llm import mixing, quality, quantiles, tokenizer
 from palaver.session import table
 
 PERMILLE = [10, 250, 500, 750, 900, 950, 990]
@@ -52,6 +52,18 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are no natural prose."""
+    docs = quality.classify(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "common_words"))
+    return docs.where("p_prose < 0.5").select("doc_id")
+
+
+def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The basic statistics of every document."""
+    docs = quality.document_statistics(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "common_words"))
+    return docs.select("doc_id", F.col("n_words").cast("long").alias("n_words"), *(F.round(c, 6).alias(c) for c in quality.STATS[1:]))
+
+
 def _p1_sql(keys: str) -> str:
     long = " UNION ALL ".join(f"SELECT {keys}, '{m}' metric, CAST({m} AS DOUBLE) v FROM r" for m in METRICS)
     ps = ", ".join(f"min(v) FILTER (i >= (n * {p} + 999) // 1000) p{p}" for p in PERMILLE)
@@ -60,6 +72,6 @@ l AS ({long}), o AS (SELECT *, row_number() OVER (PARTITION BY {keys}, metric OR
 SELECT {keys}, metric, n, {ps}, CAST(0 AS DOUBLE) rank_error FROM o GROUP BY {keys}, metric, n"""
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p1_from_days": p1_from_days, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report}
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p1_from_days": p1_from_days, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_stats": p9_stats}
 #: p1: at the scale where the SQL runs no buffer collapses, so the sketch must be exact.
 SQL = {"p1_percentiles": _p1_sql("model"), "p1_daily": _p1_sql("model, day"), "p1_from_days": _p1_sql("model")}
