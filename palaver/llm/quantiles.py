@@ -93,7 +93,7 @@ class Sketch:
         return s
 
 
-_NAMES = ["n", "err", "flip", "b", "k", "levels", "weights", "vals"]
+NAMES = ["n", "err", "flip", "b", "k", "levels", "weights", "vals"]
 
 
 def _ddl(keys: list[str]) -> str:
@@ -102,7 +102,7 @@ def _ddl(keys: list[str]) -> str:
 
 def _arrow(keys: list[str]) -> pa.Schema:
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
-    return pa.schema([("task", pa.int32()), *((c, pa.string()) for c in keys), ("metric", pa.string()), *zip(_NAMES, kinds, strict=True)])
+    return pa.schema([("task", pa.int32()), *((c, pa.string()) for c in keys), ("metric", pa.string()), *zip(NAMES, kinds, strict=True)])
 
 
 def sketches(df: DataFrame, keys: list[str], metrics: list[str], b: int = B, k: int = K) -> DataFrame:
@@ -154,7 +154,7 @@ def sketches(df: DataFrame, keys: list[str], metrics: list[str], b: int = B, k:
 
 def merged(sk: DataFrame, keys: list[str]) -> DataFrame:
     """Sketches merged to one per group and metric; ``keys`` may be fewer than those they were built with (days into a whole)."""
-    sk = sk.select("task", *keys, "metric", *_NAMES).withColumn("task", (F.col("task") / FAN_IN).cast("int"))
+    sk = sk.select("task", *keys, "metric", *NAMES).withColumn("task", (F.col("task") / FAN_IN).cast("int"))
     return _merge_runs(_merge_runs(sk, keys, ["task"]), keys, []).drop("task")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.llm import mixing, quality, quantiles, tokenizer
-from palaver.session import table
+from palaver.session import materialise, table
 
 PERMILLE = [10, 250, 500, 750, 900, 950, 990]
 METRICS = ["latencyMs", "costRub", "werAfter"]
@@ -19,6 +19,14 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("model", "caseId", "run").agg(*(F.min(m).alias(m) for m in METRICS), F.min(day).alias("day"))
 
 
+def p1_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per model and day of startedAt, and (day = `all`) per model from the days' sketches put together."""
+    k = ["model", "day"]
+    days = materialise(quantiles.merged(quantiles.sketches(_runs(spark, sf_dir), k, METRICS), k))
+    whole = quantiles.merged(days.withColumn("task", F.abs(F.hash("day")) % 4096), ["model"]).withColumn("day", F.lit("all"))
+    return quantiles.percentiles(days.select(*k, "metric", *quantiles.NAMES).unionByName(whole.select(*k, "metric", *quantiles.NAMES)), k, PERMILLE)
+
+
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of every measure per model over all runs."""
     return quantiles.percentiles(quantiles.merged(quantiles.sketches(_runs(spark, sf_dir), ["model"], METRICS), ["model"]), ["model"], PERMILLE)
@@ -64,14 +72,15 @@ def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("n_words").cast("long").alias("n_words"), *(F.round(c, 6).alias(c) for c in quality.STATS[1:]))
 
 
-def _p1_sql(keys: str) -> str:
-    long = " UNION ALL ".join(f"SELECT {keys}, '{m}' metric, CAST({m} AS DOUBLE) v FROM r" for m in METRICS)
+def _p1_sql(*groups: str) -> str:
+    long = " UNION ALL ".join(f"SELECT {g}, '{m}' metric, CAST({m} AS DOUBLE) v FROM r" for m in METRICS for g in groups)
     ps = ", ".join(f"min(v) FILTER (i >= (n * {p} + 999) // 1000) p{p}" for p in PERMILLE)
+    keys = "model, day" if "day" in groups[0] else "model"
     return f"""WITH r AS (SELECT model, caseId, run, min(latencyMs) latencyMs, min(costRub) costRub, min(werAfter) werAfter, min(strftime(startedAt, '%Y-%m-%d')) AS day FROM results GROUP BY ALL),
 l AS ({long}), o AS (SELECT *, row_number() OVER (PARTITION BY {keys}, metric ORDER BY v) i, count(*) OVER (PARTITION BY {keys}, metric) n FROM l WHERE v IS NOT NULL AND NOT isnan(v))
 SELECT {keys}, metric, n, {ps}, CAST(0 AS DOUBLE) rank_error FROM o GROUP BY {keys}, metric, n"""
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p1_from_days": p1_from_days, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_stats": p9_stats}
+QUERIES = {"p1_rollup": p1_rollup, "p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p1_from_days": p1_from_days, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_stats": p9_stats}
 #: p1: at the scale where the SQL runs no buffer collapses, so the sketch must be exact.
-SQL = {"p1_percentiles": _p1_sql("model"), "p1_daily": _p1_sql("model, day"), "p1_from_days": _p1_sql("model")}
+SQL = {"p1_rollup": _p1_sql("model, day", "model, 'all' AS day"), "p1_percentiles": _p1_sql("model"), "p1_daily": _p1_sql("model, day"), "p1_from_days": _p1_sql("model")}
