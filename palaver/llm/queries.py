@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import mixing, quality, quantiles, tokenizer
+from palaver.llm import mixing, pii, quality, quantiles, tokenizer
+from palaver.llm import turns as speech
 from palaver.session import materialise, table
 
 PERMILLE = [10, 250, 500, 750, 900, 950, 990]
+#: The key of the pseudonyms; a deployment sets its own.
+PSEUDONYM_KEY = os.environ.get("PALAVER_PSEUDONYM_KEY", "not a secret").encode()
 METRICS = ["latencyMs", "costRub", "werAfter"]
 
 
@@ -45,6 +50,34 @@ def p1_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merged(days, ["model"]), ["model"], PERMILLE)
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three text fields under one schema: src, meeting_id, pos, text."""
+    ph = table(spark, sf_dir, "phrases").select(F.lit("phrases").alias("src"), "meeting_id", F.col("pos").cast("int").alias("pos"), "text")
+    tr = table(spark, sf_dir, "transcript").select(F.lit("transcript").alias("src"), "meeting_id", F.lit(0).alias("pos"), F.col("rawText").alias("text"))
+    pr = table(spark, sf_dir, "protocol").select(F.lit("protocol").alias("src"), "meeting_id", F.lit(0).alias("pos"), F.col("summary.overview").alias("text"))
+    return ph.unionByName(tr).unionByName(pr).where("text IS NOT NULL AND text <> ''")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of personal information in each field."""
+    return pii.items(_texts(spark, sf_dir), ["src", "meeting_id", "pos"], "text").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its items replaced; repeated rows once."""
+    return pii.redacted(_texts(spark, sf_dir), ["src", "meeting_id", "pos"], "text", PSEUDONYM_KEY).distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The speaker turns of every meeting."""
+    return speech.turns(speech.prepared(table(spark, sf_dir, "phrases")), with_text=False).select("meeting_id", "first_pos", "last_pos")
+
+
+def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns with speaker and clean text."""
+    return speech.turns(speech.prepared(table(spark, sf_dir, "phrases")))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -81,6 +114,6 @@ l AS ({long}), o AS (SELECT *, row_number() OVER (PARTITION BY {keys}, metric OR
 SELECT {keys}, metric, n, {ps}, CAST(0 AS DOUBLE) rank_error FROM o GROUP BY {keys}, metric, n"""
 
 
-QUERIES = {"p1_rollup": p1_rollup, "p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p1_from_days": p1_from_days, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_stats": p9_stats}
+QUERIES = {"p1_rollup": p1_rollup, "p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p1_from_days": p1_from_days, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_turns": p4_turns, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_stats": p9_stats}
 #: p1: at the scale where the SQL runs no buffer collapses, so the sketch must be exact.
 SQL = {"p1_rollup": _p1_sql("model, day", "model, 'all' AS day"), "p1_percentiles": _p1_sql("model"), "p1_daily": _p1_sql("model, day"), "p1_from_days": _p1_sql("model")}
