@@ -29,7 +29,6 @@ FEATURES = [
 ]
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"\s*(?:[-*•·▪◦–+]\s|\[[ xX]?\]|\(?\d{1,3}[.)]\s|[a-zа-я]\)\s)")
-_DELIM = re.compile(r"\t|;.*;|\|.*\||\S {2,}\S|(?:\S+,){4,}\S+|\":")
 _SENT = re.compile(r"[.!?…\n]+")
 _VOWEL = re.compile(r"[аеёиоуыэюяaeiouy]")
 _LABEL = re.compile(r"^\s*(?:\[\d{1,2}:\d\d(?::\d\d)?\]|\(\d{1,2}:\d\d(?::\d\d)?\)|<\d{1,2}:\d\d(?::\d\d)?>|\[\d+\]|—)?\s*(?:[^\W\d_]+[ -]?№?\d{1,3}\s*:)?\s*")
@@ -37,44 +36,77 @@ _HOLE = re.compile(r"&[a-z]+;|</?[a-z]+/?>|\{\{|\[object|\bNaN\b|\bundefined\b|\
 ENDS = tuple(".!?…»\")")
 
 
+_MOJI = re.compile(r"[\u0080-ÿ]")
+_KNOWN: dict[str, tuple[int, int, int, int]] = {}
+
+
+def _delimited(x: str) -> bool:
+    return "\t" in x or "  " in x or '":' in x or x.count(";") > 1 or x.count("|") > 1 or (x.count(",") > 3 and x.count(", ") < 2)
+
+
+def _word(w: str) -> tuple[int, int, int, int]:
+    """Length, vowels, whether it is odd (very long or without a vowel), whether it mixes letters and digits; kept, as words recur."""
+    got = _KNOWN.get(w)
+    if got is None:
+        v = len(_VOWEL.findall(w))
+        if len(_KNOWN) > 200_000:
+            _KNOWN.clear()
+        got = _KNOWN[w] = (len(w), v, int(len(w) > 16 or (len(w) > 3 and not v)), int(not w.isalpha() and not w.isdigit()))
+    return got
+
+
 def statistics(text: str, common: frozenset[str]) -> list[float]:
     """The values of FEATURES for a text that isn't blank. Words are runs of letters and digits; lines that are blank don't count."""
-    lines = [x for x in text.splitlines() if x.strip()]
-    words = _WORD.findall(text.lower())
-    n, solid = len(words), len(text) - sum(map(len, re.findall(r"\s+", text)))
-    alnum = sum(map(len, words)) + 0.0
-    digits = len(re.findall(r"\d", text))
-    letters = max(1.0, alnum - digits)
-    bodies = [_LABEL.sub("", x) for x in lines]
-    per = [len(_WORD.findall(_MARK.sub("", x, count=1))) for x in bodies]
-    sents = [x.strip().lower() for x in _SENT.split(text)]
-    sents = [x for x in sents if x]
-    count = Counter(words)
-    cap = max(1, n)
-    joined = " ".join(words)
+    lines = [y for x in text.splitlines() if (y := x.strip())]
+    low = text.lower()
+    count = Counter(_WORD.findall(low))
+    n = alnum = vowels = odd = mixed = tiny = usual = longest = top = 0
+    for w, c in count.items():
+        size, v, o, m = _word(w)
+        n += c
+        alnum += c * size
+        vowels += c * v
+        odd += c * o
+        mixed += c * m
+        if size < 3:
+            tiny += c
+        if size > longest:
+            longest = size
+        if c > top:
+            top = c
+        if w in common:
+            usual += c
+    solid = max(1, sum(map(len, text.split())))
+    digits = sum(map(text.count, "0123456789"))
+    bodies = [x[_LABEL.match(x).end() :] for x in lines]
+    marks = [_MARK.match(x) for x in lines]
+    per = [max(1, len(b.split()) - (2 if m and b.startswith("[ ") else 1 if m else 0)) for b, m in zip(bodies, marks, strict=True)]
+    sents = [y for x in _SENT.split(low) if (y := x.strip())]
+    cap, rows = max(1, n), max(1, len(lines))
+    holes = len(_HOLE.findall(text)) if any(x in text for x in ("&", "</", "<", "{{", "[object", "NaN", "undefined", "null", "�")) else 0
     return [
         float(n),
         alnum / cap,
-        max(0.0, solid - alnum) / max(1, solid),
-        sum(x.rstrip().endswith(ENDS) for x in lines) / max(1, len(lines)),
-        sum(c for w, c in count.items() if w in common) / cap,
-        digits / max(1, solid),
+        max(0.0, solid - alnum) / solid,
+        sum(x.endswith(ENDS) for x in lines) / rows,
+        usual / cap,
+        digits / solid,
         float(len(lines)),
-        sum(per) / max(1, len(per)),
-        float(np.median(per)) if per else 0.0,
-        sum(bool(_MARK.match(x)) for x in lines) / max(1, len(lines)),
-        sum(bool(_DELIM.search(x)) for x in bodies) / max(1, len(lines)),
+        sum(per) / rows,
+        float(sorted(per)[len(per) // 2]) if per else 0.0,
+        sum(m is not None for m in marks) / rows,
+        sum(map(_delimited, bodies)) / rows,
         len(count) / cap,
-        len(set(sents)) / max(1, len(sents)) if len(sents) > 3 else 1.0,
-        len(_VOWEL.findall(joined)) / letters,
-        float(max(map(len, count), default=0)),
-        sum(c for w, c in count.items() if len(w) > 16 or (len(w) > 3 and not _VOWEL.search(w))) / cap,
-        sum(c for w, c in count.items() if not w.isalpha() and not w.isdigit()) / cap,
-        count.most_common(1)[0][1] / cap if n > 5 else 0.0,
-        len(re.findall(r"[\u0080-ÿ]", text)) / max(1, solid),
-        sum(x <= 4 for x in per) / max(1, len(per)),
-        sum(c for w, c in count.items() if len(w) < 3) / cap,
-        len(_HOLE.findall(text)) / max(1, len(text.split())),
+        len(set(sents)) / len(sents) if len(sents) > 3 else 1.0,
+        vowels / max(1.0, alnum - digits),
+        float(longest),
+        odd / cap,
+        mixed / cap,
+        top / cap if n > 5 else 0.0,
+        len(_MOJI.findall(text)) / solid,
+        sum(x <= 4 for x in per) / rows,
+        tiny / cap,
+        holes / max(1, text.count(" ") + 1),
         n / max(1, len(sents)),
         text.count(",") / cap,
         float(len(count)),
@@ -232,7 +264,7 @@ def train(docs: DataFrame, key: str, text: str, words: DataFrame, rows: int = TR
     n = max(1, docs.count())
     part = int(min(1.0, rows / n) * 2**31)
     sample = docs.where(F.shiftrightunsigned(F.xxhash64(key), 33) < F.lit(part)) if part < 2**31 else docs
-    got = document_statistics(sample, key, text, words).where("mean_word_len IS NOT NULL").drop(key).limit(2 * rows).toPandas().to_numpy(float)
+    got = document_statistics(sample, key, text, words).where("mean_word_len IS NOT NULL").drop(key).toPandas().to_numpy(float)
     hx, hy = holdout()
     x, y = got.reshape(-1, len(FEATURES)), weak_labels(got.reshape(-1, len(FEATURES)))
     x, y = x[y >= 0], y[y >= 0].astype(float)
