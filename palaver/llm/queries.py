@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import mixing, pii, quality, quantiles, tokenizer
+from palaver.llm import linking, mixing, pii, quality, quantiles, tokenizer
 from palaver.llm import turns as speech
 from palaver.session import materialise, table
 
@@ -78,6 +78,25 @@ def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speech.turns(speech.prepared(table(spark, sf_dir, "phrases")))
 
 
+def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """grp (meeting) and spelling of the three name fields."""
+    pr = table(spark, sf_dir, "protocol").select(F.col("meeting_id").alias("grp"), F.explode("participants").alias("spelling"))
+    ai = table(spark, sf_dir, "action_items").select(F.col("meeting_id").alias("grp"), F.col("owner").alias("spelling"))
+    sd = table(spark, sf_dir, "speaker_drafts").select(F.col("meeting_id").alias("grp"), F.col("guessedName").alias("spelling"))
+    return pr.unionByName(ai).unionByName(sd).select("grp", linking.clean_spelling("spelling").alias("spelling"))
+
+
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling of a meeting and what it means."""
+    return linking.entities(_spellings(spark, sf_dir)).withColumnRenamed("grp", "meeting_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings that mean the same person or organisation."""
+    ents = materialise(linking.entities(_spellings(spark, sf_dir)))
+    return linking.pairs(ents).withColumnRenamed("grp", "meeting_id")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -114,6 +133,6 @@ l AS ({long}), o AS (SELECT *, row_number() OVER (PARTITION BY {keys}, metric OR
 SELECT {keys}, metric, n, {ps}, CAST(0 AS DOUBLE) rank_error FROM o GROUP BY {keys}, metric, n"""
 
 
-QUERIES = {"p1_rollup": p1_rollup, "p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p1_from_days": p1_from_days, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_turns": p4_turns, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_stats": p9_stats}
+QUERIES = {"p1_rollup": p1_rollup, "p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p1_from_days": p1_from_days, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_turns": p4_turns, "p5_found": p5_found, "p5_entities": p5_entities, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_stats": p9_stats}
 #: p1: at the scale where the SQL runs no buffer collapses, so the sketch must be exact.
 SQL = {"p1_rollup": _p1_sql("model, day", "model, 'all' AS day"), "p1_percentiles": _p1_sql("model"), "p1_daily": _p1_sql("model, day"), "p1_from_days": _p1_sql("model")}
