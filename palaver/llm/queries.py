@@ -70,12 +70,13 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The speaker turns of every meeting."""
-    return speech.turns(speech.prepared(table(spark, sf_dir, "phrases")), with_text=False).select("meeting_id", "first_pos", "last_pos")
+    return speech.turns(speech.prepared(table(spark, sf_dir, "phrases"))).select("meeting_id", "first_pos", "last_pos")
 
 
 def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns with speaker and clean text."""
-    return speech.turns(speech.prepared(table(spark, sf_dir, "phrases")))
+    phrases = table(spark, sf_dir, "phrases")
+    return speech.turns(speech.prepared(phrases), speech.texts(phrases))
 
 
 def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:

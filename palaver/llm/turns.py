@@ -59,11 +59,21 @@ def clean_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def is_noise(clean: Column) -> Column:
-    """Whether nothing is left of a clean text but times and noise markers; null and empty texts are noise too."""
-    rest = F.regexp_replace(F.lower(clean), r"\d{1,2}:\d\d(?::\d\d)?", " ")
-    rest = F.regexp_replace(rest, r"(?U)(?<![\p{L}\d])(?:" + "|".join(MARKERS) + r")(?![\p{L}\d])", " ")
-    return F.coalesce(~rest.rlike(r"[\p{L}\p{N}]"), F.lit(True))
+_NOTHING = (
+    r"(?iu)^(?:\s*+" + _LABEL[len("(?iu)") :] + r")?+(?:"
+    + r"\(\([^)]*+\)\)|\[[^\]]*+\]|<[^>]*+>|\{[^}]*+\}|\*[^*\n\p{N}]{1,40}+\*|\((?:\s*+(?:" + "|".join(NOTES) + r")(?![\p{L}\p{N}])\s*+)++\)"
+    + r"|\d{1,2}+:\d\d(?::\d\d)?+(?:[.,]\d++)?+(?!\d)"
+    + r"|(?:э++м*+(?:-э++м*+)*+|м++(?:-м++)++|мм++|хм++|гм++|а++(?:-а++)++|у++(?:-у++)++|" + "|".join(MARKERS) + r")(?![\p{L}\p{N}])(?!-[\p{L}\p{N}])"
+    + r"|[^\p{L}\p{N}])*+$"
+)
+
+
+def is_noise(c: Column | str) -> Column:
+    """Whether a text is nothing but sound notes, times, hesitation sounds and noise markers (perhaps after a speaker label); null and empty texts are noise too.
+
+    One possessive pattern over the raw text, which gives up at the first real word."""
+    t = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.translate(t, "\u200b\u200c\u200d\u2060\ufeff\u00ad", "").rlike(_NOTHING), F.lit(True))
 
 
 def written_time(c: Column | str) -> Column:
@@ -83,12 +93,13 @@ def label_key(c: Column | str) -> Column:
     return F.when(num != "", F.concat(F.lit("n:"), F.regexp_replace(num, "^0+(?=.)", ""))).when(word != "", F.concat(F.lit("w:"), word))
 
 
-def deduped(phrases: DataFrame) -> DataFrame:
-    """One row per (meeting_id, pos): of rows with the same key the one that arrived first (ties: the smallest)."""
-    cols = ["speakerId", "speakerLabel", "speakerTag", "detectedName", "startTimeMs", "text"]
+def deduped(phrases: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """One row per (meeting_id, pos): of rows with the same key the one that arrived first (ties: the smallest). cols are worked out before the
+    shuffle, so that texts that aren't asked for are never moved."""
     p = phrases.where("meeting_id IS NOT NULL AND pos IS NOT NULL")
-    one = F.min(F.struct(F.coalesce(F.col("arrivedAt").cast("timestamp"), F.lit("9999-12-31").cast("timestamp")).alias("a"), *cols)).alias("r")
-    return p.groupBy("meeting_id", "pos").agg(one).select("meeting_id", "pos", *(F.col(f"r.{c}").alias(c) for c in cols))
+    made = p.select("meeting_id", F.col("pos").cast("int").alias("pos"), F.coalesce(F.col("arrivedAt").cast("timestamp"), F.lit("9999-12-31").cast("timestamp")).alias("a"), *(c.alias(k) for k, c in cols.items()))
+    one = made.groupBy("meeting_id", "pos").agg(F.min(F.struct("a", *cols)).alias("r"))
+    return one.select("meeting_id", "pos", *(F.col(f"r.{c}").alias(c) for c in cols))
 
 
 def _timed(p: DataFrame) -> DataFrame:
@@ -199,21 +210,30 @@ def infer_missing(rows: DataFrame, phrases: DataFrame) -> DataFrame:
     return model.mapInPandas(run, "meeting_id string, pos int, inferred string")
 
 
+def texts(phrases: DataFrame) -> DataFrame:
+    """meeting_id, pos, clean: the clean text of every phrase."""
+    return deduped(phrases, {"clean": clean_text("text")})
+
+
 def prepared(phrases: DataFrame) -> DataFrame:
-    """meeting_id, pos, t, speaker, clean, noise of every phrase, written once; missing speakers are inferred where there are any."""
-    p = deduped(phrases).withColumn("_written", F.when(F.col("startTimeMs").isNull(), written_time("text"))).withColumn("clean", clean_text("text")).drop("text")
-    rows = materialise(_resolved(_timed(p)).select("meeting_id", F.col("pos").cast("int").alias("pos"), "t", "speaker", "clean", is_noise(F.col("clean")).alias("noise")))
+    """meeting_id, pos, t, speaker, noise of every phrase, written once; missing speakers are inferred where there are any."""
+    plain = {c: F.col(c) for c in ("speakerId", "speakerLabel", "speakerTag", "detectedName", "startTimeMs")}
+    p = deduped(phrases, plain | {"_written": F.when(F.col("startTimeMs").isNull(), written_time("text")), "noise": is_noise("text")})
+    rows = materialise(_resolved(_timed(p)).select("meeting_id", "pos", "t", "speaker", "noise"))
     if rows.where("speaker IS NULL").isEmpty():
         return rows
-    guess = infer_missing(rows.select("meeting_id", "pos", "speaker"), rows.select("meeting_id", "pos", F.col("clean").alias("text")))
+    guess = infer_missing(rows.select("meeting_id", "pos", "speaker"), texts(phrases).withColumnRenamed("clean", "text"))
     return rows.join(guess, ["meeting_id", "pos"], "left").withColumn("speaker", F.coalesce("speaker", "inferred")).drop("inferred")
 
 
-def turns(rows: DataFrame, with_text: bool = True) -> DataFrame:
-    """meeting_id, speaker, first_pos, last_pos, phrases, from_ms and, if asked for, text (the clean texts joined by spaces).
+def turns(rows: DataFrame, text: DataFrame | None = None) -> DataFrame:
+    """meeting_id, speaker, first_pos, last_pos, phrases, from_ms and, if ``text`` (as of texts()) is given, text (the clean texts joined by spaces).
 
     rows: as of prepared(). A turn is a longest run, in order of time and pos, of one speaker's phrases that aren't noise; phrases of which nobody
     knows the speaker (null) count as one speaker. Nulls in meeting_id or pos drop a row; an empty table gives no turns."""
+    with_text = text is not None
+    if with_text:
+        rows = rows.join(text, ["meeting_id", "pos"])
     cols = ["meeting_id", "t", "pos", "speaker", *(["clean"] if with_text else [])]
     n = max(2, shuffle_partitions(rows.sparkSession))
     ordered = rows.where("NOT noise").select(*cols).repartitionByRange(n, "meeting_id", "t", "pos").sortWithinPartitions("meeting_id", "t", "pos")
