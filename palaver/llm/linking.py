@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm import names
+from palaver.session import materialise
 
 ROWS = 2
 RECALL, SIMILARITY = 0.99, 0.42
@@ -304,7 +305,7 @@ def centres(tokens: DataFrame, bands: int | None = None) -> DataFrame:
     weigh = alone.join(heads, "head", "left").join(tails, "tail", "left").crossJoin(F.broadcast(total))  # one row
     weigh = weigh.select("kind", "name", "groups", ((F.col("kind") == "p") & (F.coalesce("heads", F.lit(0)) >= least) & (F.coalesce("tails", F.lit(0)) >= least)).alias("parts"))
     cols = ["grp", "kind", "name", "g", "groups", "parts"]
-    b = _bands(tokens.join(weigh, ["kind", "name"]).select(*cols), cols, bands)
+    b = _bands(materialise(tokens.join(weigh, ["kind", "name"]).select(*cols)), cols, bands)
     x, y = ([F.col(c).alias(f"{c}{i}") for c in cols[1:]] for i in (1, 2))
     pair = b.select("grp", "band", "bh", *x).join(b.select("grp", "band", "bh", *y), ["grp", "band", "bh"])
     pair = pair.where("name1 <> name2 AND (kind1 = kind2 OR kind1 = 'u' OR kind2 = 'u') AND abs(length(name1) - length(name2)) <= 2 AND (g1 IS NULL OR g2 IS NULL OR g1 = g2)")
@@ -330,16 +331,16 @@ def entities(spellings: DataFrame) -> DataFrame:
     """grp, spelling, entity: the spellings that name somebody, and a key of what they mean in their group.
 
     spellings: grp, spelling; nulls, empties and entries that name nobody are left out, repeated rows count once."""
-    p = parsed(spellings)
+    p = materialise(parsed(spellings))  # small next to the texts, and read many times: written out once, which also keeps the plans short
     p = p.withColumn("g", _full_given("given")).withColumn("g_", F.coalesce("g", F.lit("")))
     tokens = p.where("name IS NOT NULL").select("grp", "kind", "name", "g").distinct()
-    c = centres(tokens)
+    c = materialise(centres(tokens))
     # a satellite may hang on another satellite: follow one more step, so that chains of two typos end at the centre
     step = c.select("grp", F.col("kind").alias("ckind"), F.col("name").alias("centre"), "g_", F.col("centre").alias("c2"), F.col("ckind").alias("k2"))
     c = c.join(step, ["grp", "ckind", "centre", "g_"], "left").select("grp", "kind", "name", "g_", F.coalesce("c2", "centre").alias("sur"), F.coalesce("k2", "ckind").alias("skind"))
     p = p.join(c, ["grp", "kind", "name", "g_"], "left")
     kind = F.when(F.col("kind") == "u", F.when(F.col("skind") == "p", "p").otherwise("o")).otherwise(F.col("kind"))
-    p = p.withColumn("kind", kind)
+    p = materialise(p.withColumn("kind", kind))
     orgs = p.where("kind = 'o'").select("grp", "spelling", F.concat(F.lit("o|"), F.coalesce("sur", "name")).alias("entity"))
     people = p.where("kind = 'p'").withColumn("initial", F.substring("g", 1, 1))
     full = people.where("sur IS NOT NULL AND g IS NOT NULL").withColumn("person", F.concat_ws("|", F.lit("p"), "sur", "g"))
@@ -349,7 +350,7 @@ def entities(spellings: DataFrame) -> DataFrame:
     keyed = known.select("grp", "person", "sur", "g", F.substring("g", 1, 1).alias("i"), "patr")
     lone = half.join(keyed.select("grp", "sur", F.col("i").alias("gi")).distinct(), ["grp", "sur", "gi"], "left_anti")
     lone = lone.select("grp", F.concat_ws("|", F.lit("h"), "sur", "gi").alias("person"), "sur", F.lit(None).cast("string").alias("g"), F.col("gi").alias("i"), F.lit(None).cast("string").alias("patr")).distinct()
-    everyone = keyed.unionByName(lone)
+    everyone = materialise(keyed.unionByName(lone))
     keys = F.array(
         F.concat_ws("|", F.lit("s"), "sur"),
         F.concat_ws("|", F.lit("si"), "sur", "i"),
