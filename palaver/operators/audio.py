@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _mean(c: Column, f) -> Column:
@@ -97,7 +98,7 @@ def denoised(x: np.ndarray, frame: int = 512, noise_frames: int = 10, strength:
 def array_udf(f, **options):
     """A pandas UDF over arrays of samples from a numpy function."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(c: pd.Series) -> pd.Series:
         return c.map(lambda v: None if v is None else f(np.asarray(v, float), **options).tolist())
 

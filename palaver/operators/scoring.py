@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palaver.functions import text as X
 
@@ -37,7 +38,7 @@ def align_counts(ref: list, hyp: list) -> tuple[int, int, int]:
     return row[n][1:]
 
 
-@F.pandas_udf("struct<substitutions:int,deletions:int,insertions:int,words:int>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("substitutions", "deletions", "insertions", "words")]))
 def _word_errors(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b in zip(ref, hyp, strict=True):
@@ -61,15 +62,20 @@ def character_errors(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(X.scoring_form(ref), X.scoring_form(hyp))
 
 
+def _millionths(c: str, ok: Column) -> Column:
+    """The mean of a column's valid values in whole millionths (rounded down): sums of integers, so that the order of the rows can't show."""
+    good = ok & F.col(c).isNotNull() & ~F.isnan(c)
+    n = F.sum(good.cast("long"))
+    return F.floor(F.try_divide(F.sum(F.when(good, F.round(F.col(c) * 1_000_000).cast("long"))).cast("decimal(38,0)"), n)).cast("long")
+
+
 def averages(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: runs, runs with a valid score, and the averages of the valid scores (0 where there are none)."""
+    """Per group: runs, runs with a valid score, and the mean scores in millionths (null where there are none)."""
     ok = F.col("werAfter").isNotNull() & ~F.isnan("werAfter")
-    mean = lambda c: F.round(F.coalesce(F.avg(F.when(ok & ~F.isnan(c), F.col(c))), F.lit(0.0)), 6).alias
-    return results.groupBy(*keys).agg(F.count("*").alias("runs"), F.sum(ok.cast("int")).alias("scored"), mean("werBefore")("wer_before"), mean("werAfter")("wer_after"))
+    return results.groupBy(*keys).agg(F.count("*").alias("runs"), F.sum(ok.cast("int")).alias("scored"), _millionths("werBefore", ok).alias("wer_before_ppm"), _millionths("werAfter", ok).alias("wer_after_ppm"))
 
 
 def rolled_up(results: DataFrame) -> DataFrame:
-    """Averages per model and case, per model, and over all, in one pass (grouping sets)."""
+    """Mean scores per model and case, per model, and over all, in one pass (grouping sets); level: 0, 1 and 3."""
     ok = F.col("werAfter").isNotNull() & ~F.isnan("werAfter")
-    g = results.rollup("model", "caseId").agg(F.count("*").alias("runs"), F.round(F.avg(F.when(ok, F.col("werAfter"))), 6).alias("wer_after"), F.grouping_id().cast("int").alias("level"))
-    return g
+    return results.rollup("model", "caseId").agg(F.count("*").alias("runs"), _millionths("werAfter", ok).alias("wer_after_ppm"), F.grouping_id().cast("int").alias("level"))
