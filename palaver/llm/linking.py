@@ -73,16 +73,28 @@ def tune(recall: float = RECALL, at: float = SIMILARITY, rows: int = ROWS) -> in
     return b
 
 
-#: Latin spellings of one Cyrillic letter, as one sign each, so that a typo in a letter is one edit.
-FOLD = (("shch", "X"), ("zh", "Z"), ("kh", "H"), ("ts", "C"), ("ch", "Q"), ("sh", "W"), ("yu", "U"), ("ya", "A"))
+#: Letters that take several in Latin, as one sign each, so that a typo in a letter is one edit.
+ONE_SIGN = {"ж": "Z", "х": "H", "ч": "Q", "ш": "W", "щ": "X", "ю": "U", "я": "A"}
+DIGRAPHS = (("shch", "X"), ("zh", "Z"), ("kh", "H"), ("ch", "Q"), ("sh", "W"), ("yu", "U"), ("ya", "A"))
+_CODE_SURNAME = re.compile(r"(?:ov|ev|in|yn)a?$|enko$|sk(?:iy|y|aA|oy)$|Quk$")
 
 
 def fold(latin: str) -> str:
-    for a, b in FOLD:
+    for a, b in DIGRAPHS:
         latin = latin.replace(a, b)
     return latin
 
 
+@lru_cache(maxsize=100_000)
+def code(word: str) -> str:
+    """One spelling for a word in either script: a sign per letter, without soft and hard signs."""
+    return fold(word.lower()) if word.isascii() else "".join(ONE_SIGN.get(c) or names.LATIN.get(c, c) for c in word.lower())
+
+
+def _like_surname(c: str) -> bool:
+    return len(c) > 4 and bool(_CODE_SURNAME.search(c)) and not c.endswith("ayn")
+
+
 @lru_cache(maxsize=1)
 def _patronymics() -> frozenset[str]:
     out = set()
@@ -93,14 +105,14 @@ def _patronymics() -> frozenset[str]:
         if stem is None:
             stem = full[:-2] + "ьев" if full.endswith(("лий", "рий", "сий", "ний")) and full not in ("дмитрий",) else full[:-1] + "ев" if full.endswith("й") else full + "ов"
         out |= {stem + "ич", stem + ("на" if stem.endswith(("ов", "ев")) else "инична" if stem == "иль" else "ична")}
-    return frozenset(fold(names.to_latin(x)) for x in out)
+    return frozenset(code(x) for x in out)
 
 
 @lru_cache(maxsize=1)
 def _given_latin() -> dict[str, tuple[str, bool]]:
     """Folded form -> (base, whether it is the nominative)."""
-    out = {fold(names.to_latin(f)): (b, f == b) for f, b in names.forms().items()}
-    out |= {fold(names.to_latin(b)): (b, True) for b in names.forms().values()}
+    out = {code(f): (b, f == b) for f, b in names.forms().items()}
+    out |= {code(b): (b, True) for b in names.forms().values()}
     return out | {fold(f): (b, True) for f, b in names.latin_forms().items()}
 
 
@@ -137,7 +149,7 @@ def _near(word: str, least: int = 4) -> tuple[str, bool] | None:
 def _surname_like(word: str) -> bool:
     """Whether a lone word looks like a surname; `дизайн` and the like don't."""
     if word.isascii():
-        return names.is_latin_surname(word) and not word.endswith("ayn")
+        return _like_surname(code(word))
     return names.is_surname(word)
 
 
@@ -153,7 +165,7 @@ def _nominative(s: str, oblique: bool) -> str:
 
 
 def parse(spelling: str) -> dict | None:
-    """The parts of a spelling, in Latin letters; None if it names nobody.
+    """The parts of a spelling, coded; None if it names nobody.
 
     kind: p (person), o (organisation) or u (a lone word that may be either); name: surname or organisation words; given: base form; patr, gi, pi, si: patronymic and initials."""
     s = re.sub(r"\([^)]*\)", " ", spelling)
@@ -164,50 +176,47 @@ def parse(spelling: str) -> dict | None:
     words = [names.plain(names.unmix(w)) for w in re.findall(r"[^\W_]+(?:-[^\W_]+)*", s)]
     legal = [w for w in words if w in LEGAL]
     if legal or quoted:
-        rest = [names.to_latin(p) for w in words if w not in LEGAL for p in w.split("-")]
-        return {"kind": "o", "name": fold("".join(rest)), "given": None, "patr": None, "gi": None, "pi": None, "si": None} if rest else None
-    lat = [names.to_latin(w) for w in words]
+        rest = [code(p) for w in words if w not in LEGAL for p in w.split("-")]
+        return {"kind": "o", "name": "".join(rest), "given": None, "patr": None, "gi": None, "pi": None, "si": None} if rest else None
+    lat = [code(w) for w in words]
     known = _given_latin()
     given = patr = None
     oblique = False
     left, initials = [], []
     for raw, w in zip(words, lat, strict=True):
         if len(raw) == 1 or (len(raw) == 2 and raw in ("yu", "ya", "kh", "zh", "sh", "ch", "ts")):
-            initials.append((fold(w)[:1], len(left) + (given is not None)))
-        elif given is None and fold(w) in known:
-            given, nom = known[fold(w)]
+            initials.append((w[:1], len(left) + (given is not None)))
+        elif given is None and w in known:
+            given, nom = known[w]
             oblique = not nom
-        elif patr is None and len(words) > 1 and (p := _patronymic(fold(w), raw)):
+        elif patr is None and len(words) > 1 and (p := _patronymic(w, raw)):
             patr = p
         else:
             left.append(w)
     if given is None and len(left) >= 2 and not initials:
-        for w in left:
-            hit = _near(fold(w))
-            if hit and not names.is_latin_surname(w) and (hit[0] or any(names.is_latin_surname(x) for x in left if x != w)):
-                given, oblique = hit[0], not hit[1]
-                left.remove(w)
-                break
-        else:
-            for w in left:
-                hit = _near(fold(w))
-                if hit and hit[0]:
+        # a misspelt given name, but only beside what looks like a surname: `Вектор Лифт` is no Виктор
+        plausible = [_like_surname(w) or w.endswith(("ovoy", "inoy", "evoy", "ovu", "inu", "evu")) for w in left]
+        for last in (False, True):
+            for i, w in enumerate(left):
+                if plausible[i] is last and any(ok for j, ok in enumerate(plausible) if j != i) and (hit := _near(w)):
                     given, oblique = hit[0], not hit[1]
-                    left.remove(w)
+                    left.pop(i)
                     break
+            if given is not None:
+                break
     if given == "":  # a misspelt given name that may be several: the surname has to do
         given = None
         if len(left) == 1 and not initials and patr is None:
-            return {"kind": "p", "name": fold(_nominative(left[0], oblique)), "given": None, "patr": None, "gi": None, "pi": None, "si": None}
+            return {"kind": "p", "name": _nominative(left[0], oblique), "given": None, "patr": None, "gi": None, "pi": None, "si": None}
     out = {"kind": "p", "name": None, "given": given, "patr": patr, "gi": None, "pi": None, "si": None}
     if left:
         if given is None and patr is None and not initials:
             looks = len(left) == 1 and "-" not in words[0] and _surname_like(words[0])
             name = "".join(p for w in left for p in w.split("-"))
             if looks:
-                return out | {"name": fold(_nominative(left[0], False))}
-            return out | {"kind": "u" if len(left) == 1 and "-" not in left[0] else "o", "name": fold(name)}
-        out["name"] = " ".join(fold(_nominative(w, oblique)) for w in left)
+                return out | {"name": _nominative(left[0], False)}
+            return out | {"kind": "u" if len(left) == 1 and "-" not in left[0] else "o", "name": name}
+        out["name"] = " ".join(_nominative(w, oblique) for w in left)
         if initials:
             letters = [w for w, _ in initials]
             if given is None:
@@ -386,7 +395,7 @@ def entities(spellings: DataFrame) -> DataFrame:
 
 def _full_given(c: str) -> Column:
     """The Latin full name of a base form; a form that may stand for several names keeps its first by the alphabet."""
-    table = {b: fold(names.to_latin(min(f))) for b, f in names.full_names().items()}
+    table = {b: code(min(f)) for b, f in names.full_names().items()}
     pairs = [F.lit(x) for kv in sorted(table.items()) for x in kv]
     return F.try_element_at(F.create_map(*pairs), F.col(c))
 

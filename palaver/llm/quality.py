@@ -268,7 +268,7 @@ def train(docs: DataFrame, key: str, text: str, words: DataFrame, rows: int = TR
     hx, hy = holdout()
     x, y = got.reshape(-1, len(FEATURES)), weak_labels(got.reshape(-1, len(FEATURES)))
     x, y = x[y >= 0], y[y >= 0].astype(float)
-    if len(set(y)) < 2 and len(hy):  # a corpus of one kind (or none) can't teach the difference
+    if min((y == 0).sum(), (y == 1).sum()) < 40 and len(hy):  # too small a corpus, or one of a single kind, can't teach the difference
         x, y = np.vstack([x, hx]), np.concatenate([y, hy])
     trees = Trees().fit(x, y)
     return trees, *(calibrate(trees.margin(hx), hy) if len(hy) else (1.0, 0.0))
