@@ -307,11 +307,11 @@ def centres(tokens: DataFrame, bands: int | None = None) -> DataFrame:
     as well; or, two edits away at most, on a better one if its own parts are not plausible. With two given names they must be equal; with only one the stricter of both rules holds."""
     bands = bands or tune()
     alone = tokens.groupBy("kind", "name").agg(F.countDistinct("grp").alias("groups"))
-    alone = alone.withColumn("head", F.substring("name", 1, 4)).withColumn("tail", F.expr("substring(name, 5)"))
+    alone = materialise(alone).withColumn("head", F.substring("name", 1, 4)).withColumn("tail", F.expr("substring(name, 5)"))
     people = alone.where("kind = 'p'")
-    heads, tails, total = people.groupBy("head").agg(F.sum("groups").alias("heads")), people.groupBy("tail").agg(F.sum("groups").alias("tails")), people.agg(F.sum("groups").alias("total"))
-    least = F.greatest(F.lit(4.0), F.lit(SHARE) * F.coalesce("total", F.lit(0)))
-    weigh = alone.join(heads, "head", "left").join(tails, "tail", "left").crossJoin(F.broadcast(total))  # one row
+    heads, tails = people.groupBy("head").agg(F.sum("groups").alias("heads")), people.groupBy("tail").agg(F.sum("groups").alias("tails"))
+    least = F.lit(max(4.0, SHARE * (people.agg(F.sum("groups")).first()[0] or 0)))
+    weigh = alone.join(heads, "head", "left").join(tails, "tail", "left")
     weigh = weigh.select("kind", "name", "groups", ((F.col("kind") == "p") & (F.coalesce("heads", F.lit(0)) >= least) & (F.coalesce("tails", F.lit(0)) >= least)).alias("parts"))
     cols = ["grp", "kind", "name", "g", "groups", "parts"]
     b = _bands(materialise(tokens.join(weigh, ["kind", "name"]).select(*cols)), cols, bands)

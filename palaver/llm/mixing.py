@@ -20,6 +20,8 @@ from palaver.llm.tokenizer import DEFAULT_DIR, count_tokens
 from palaver.session import materialise
 
 CELLS = 65_536
+#: Targets are handed to every task, so their number is checked.
+MOST_TARGETS = 10_000
 
 
 def solve(classes: list[tuple[float, int]], limit: int, target: float) -> float:
@@ -67,8 +69,11 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     encoding and one small aggregate when called."""
     spark = docs.sparkSession
     goals = targets.where("source IS NOT NULL").groupBy("source").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats"))
-    goal = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in goals.collect()}
-    sized = materialise(sized_documents(docs.join(F.broadcast(goals.select(F.col("source").alias(source))), source, "left_semi") if len(goal) <= 10_000 else docs, key, text, source, folder))
+    goal = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in goals.limit(MOST_TARGETS + 1).collect()}
+    if len(goal) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
+    wanted = docs.join(F.broadcast(goals.select(F.col("source").alias(source))), source, "left_semi")
+    sized = materialise(sized_documents(wanted, key, text, source, folder))
     stats: dict[str, list[tuple[float, int]]] = {}
     for r in sized.groupBy("source", "weight").agg(F.sum("n_tokens").alias("t")).collect():
         stats.setdefault(r["source"], []).append((r["weight"], r["t"]))
