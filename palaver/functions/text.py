@@ -181,3 +181,8 @@ def palette_slot(first_seen: Column, size: int = 8) -> Column:
 def name_slot(t: Column, size: int = 8) -> Column:
     """The slot of a name that wasn't seen: the sum of its code points, modulo the palette."""
     return (F.aggregate(F.filter(F.split(t, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a + F.ascii(c)) % size).cast("int")
+
+
+def initials(t: Column) -> Column:
+    """The capital first letter of the first word, or of the only one."""
+    return F.upper(F.substring(F.trim(t), 1, 1))

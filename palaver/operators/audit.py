@@ -49,3 +49,8 @@ def union_lists(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def by_name(df: DataFrame, name: str, locale: str = "ru") -> DataFrame:
+    """Rows in the order of a language's collation, nulls last."""
+    return df.orderBy(F.collate(F.col(name), locale).asc_nulls_last(), name)

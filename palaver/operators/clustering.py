@@ -75,3 +75,19 @@ def absorb_small(totals: DataFrame, cents: DataFrame, least: float = 10.0) -> Da
     big = t.where((F.col("total") >= least) & F.col("centroid").isNotNull()).select("grp", F.col("label").alias("b"), F.col("centroid").alias("vb"))
     best = small.join(big, "grp").groupBy("grp", F.col("s").alias("label")).agg(F.max_by("b", F.struct(dot("vs", "vb"), (-F.xxhash64("b")).alias("h"))).alias("to"))
     return totals.select("grp", "label").join(best, ["grp", "label"], "left").select("grp", "label", F.coalesce("to", "label").alias("absorbed"))
+
+
+def merge_rounds(cents: DataFrame, rounds: int, floor: float = 0.8) -> DataFrame:
+    """grp, label, merged after several rounds: each round merges the clusters of the one before; names are followed to the end.
+
+    Every round is written out, so that a lost executor doesn't send the next one back to the start."""
+    from palaver.session import materialise
+
+    names, now = cents.select("grp", "label", F.col("label").alias("merged")), cents
+    for _ in range(rounds):
+        step = materialise(merge_nearest(now, floor))
+        if step.where("label <> merged").isEmpty():
+            break
+        now = materialise(merged_centroids(now, step))
+        names = materialise(names.join(step.select("grp", F.col("label").alias("merged"), F.col("merged").alias("_to")), ["grp", "merged"], "left").select("grp", "label", F.coalesce("_to", "merged").alias("merged")))
+    return names

@@ -139,3 +139,38 @@ def previous_meeting(meetings: DataFrame) -> DataFrame:
     As-of by a window over the finished meetings of a project, in order of time."""
     last = F.last(F.when(F.col("status") == "done", F.col("id")), True).over(W.partitionBy("projectId").orderBy("updatedAt", "id").rowsBetween(W.unboundedPreceding, -1))
     return meetings.where("projectId IS NOT NULL").select(F.col("id").alias("meeting_id"), last.alias("previous_id"))
+
+
+def usable_samples(votes: DataFrame) -> DataFrame:
+    """Votes without those of samples that are nothing but fallbacks, unless a meeting has no other. votes: meeting_id, sample, reasoning, ..."""
+    bad = votes.groupBy("meeting_id", "sample").agg(F.min((F.coalesce("reasoning", F.lit("")) == "fallback").cast("int")).alias("_bad"))
+    some = bad.groupBy("meeting_id").agg(F.min("_bad").alias("_all"))
+    d = votes.join(bad, ["meeting_id", "sample"]).join(some, "meeting_id")
+    return d.where("_bad = 0 OR _all = 1").drop("_bad", "_all")
+
+
+def without_removed(items: DataFrame, removals: DataFrame, length: int = 50) -> DataFrame:
+    """Items (grp, text) whose lower-cased beginning is none of the group's removals' (grp, text)."""
+    head = lambda c: F.substring(F.lower(c), 1, length)
+    gone = removals.where("text IS NOT NULL").select("grp", head("text").alias("_h")).distinct()
+    return items.withColumn("_h", head("text")).join(gone, ["grp", "_h"], "left_anti").drop("_h")
+
+
+def kept_highlights(quotes: DataFrame, most: int = 5) -> DataFrame:
+    """grp, pos of the first ``most`` quotes of a group after dropping blank ones and, within a speaker, those that resemble an earlier one.
+
+    quotes: grp, pos, speaker, quote; a speaker that is a placeholder is no speaker."""
+    from palaver.operators.similarity import greedy_dedup
+
+    q = quotes.where("trim(quote) <> ''").withColumn("who", F.when(~X.is_junk(F.col("speaker")), X.name_key(F.col("speaker"))))
+    q = q.withColumn("g2", F.to_json(F.array("grp", F.coalesce("who", F.lit("\u0000")))))
+    kept = greedy_dedup(q.select(F.col("g2").alias("grp"), "pos", F.col("quote").alias("text"))).withColumnRenamed("grp", "g2")
+    d = q.select("grp", "g2", "pos").join(kept, ["g2", "pos"])
+    return d.withColumn("k", F.row_number().over(W.partitionBy("grp").orderBy("pos"))).where(F.col("k") <= most).select("grp", "pos")
+
+
+def score_table(scores: DataFrame) -> DataFrame:
+    """One row, table: a markdown table of model, runs and mean error, by model. scores: model, runs, wer_after_ppm; a row per model."""
+    line = F.format_string("| %s | %d | %.2f %% |", F.coalesce("model", F.lit("-")), F.col("runs"), F.col("wer_after_ppm") / 10_000)
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("model", F.lit("-")).alias("m"), line.alias("l")))), lambda s: s["l"]), "\n")
+    return scores.agg(F.concat(F.lit("| model | runs | error |\n|---|---|---|\n"), rows).alias("table"))

@@ -583,6 +583,43 @@ def rolled_up_scores(spark, d):
     return scoring.rolled_up(_results(spark, d))
 
 
+# ---- rest of the minutes
+
+
+@query(f"""WITH {TASKS}, {_DECISIONS} SELECT meeting_id, decision FROM dc WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.meeting_id = dc.meeting_id AND lower(t.task)[1:50] = lower(decision)[1:50])""")
+def unremoved_decisions(spark, d):
+    """Decisions that don't begin like a task of the meeting."""
+    dc = table(spark, d, "protocol").select(F.col("meeting_id").alias("grp"), F.explode("decisions").alias("text")).where("text IS NOT NULL").distinct()
+    gone = _tasks(spark, d).select(F.col("meeting_id").alias("grp"), F.col("task").alias("text"))
+    return minutes.without_removed(dc, gone).select(F.col("grp").alias("meeting_id"), F.col("text").alias("decision"))
+
+
+@query("""WITH p AS (SELECT DISTINCT meeting_id, x AS name FROM (SELECT meeting_id, unnest(participants) x FROM protocol) WHERE x IS NOT NULL) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM speaker_drafts s WHERE s.meeting_id = p.meeting_id AND s.guessedName = p.name)""")
+def unassigned_participants(spark, d):
+    """Participants whom no speaker was taken for."""
+    p = table(spark, d, "protocol").select("meeting_id", F.explode("participants").alias("name")).where("name IS NOT NULL").distinct()
+    return p.join(table(spark, d, "speaker_drafts").select("meeting_id", F.col("guessedName").alias("name")), ["meeting_id", "name"], "left_anti")
+
+
+@query(f"""WITH {PH} SELECT meeting_id, count(*) phrases, CAST(sum(CASE WHEN trim(regexp_replace(text, '{SP}+', ' ', 'g')) <> text THEN 1 ELSE 0 END) AS BIGINT) changed FROM ph GROUP BY 1""")
+def changed_phrases(spark, d):
+    """How many phrases the cleaning changes, per meeting."""
+    p = _ph(spark, d)
+    return p.groupBy("meeting_id").agg(F.count("*").alias("phrases"), F.sum((X.correct(F.col("text")) != F.col("text")).cast("long")).alias("changed")).withColumn("changed", F.coalesce("changed", F.lit(0)))
+
+
+@query(f"""WITH {_RES}, m AS (SELECT coalesce(model, '-') m, count(*) runs, {_PPM.format('werAfter')} p FROM o GROUP BY model) SELECT '| model | runs | error |' || chr(10) || '|---|---|---|' || chr(10) || string_agg(printf('| %s | %d | %.2f %% |', m, runs, p / 10000), chr(10) ORDER BY m) AS table FROM m""")
+def score_table(spark, d):
+    """Mean errors per model as a markdown table."""
+    return minutes.score_table(scoring.averages(_results(spark, d), ["model"]))
+
+
+@query()
+def projects_by_name(spark, d):
+    """Projects in the order of the Russian collation."""
+    return audit.by_name(table(spark, d, "projects").select("id", "name").distinct(), "name")
+
+
 # ---- clustering and signals
 
 

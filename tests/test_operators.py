@@ -174,3 +174,46 @@ def test_signals():
     assert len(audio.resample(x, 16_000, 8_000)) == 250
     assert audio.denoised(np.sin(np.arange(4000) / 5)).shape == (4000,)
     assert audio.high_pass(np.ones(5), 0.9).tolist() == [0.0] * 5
+
+
+def test_samples_highlights_and_removals(spark):
+    v = spark.createDataFrame([("m", 1, "fallback"), ("m", 1, "fallback"), ("m", 2, "fallback"), ("m", 2, None), ("n", 1, "fallback")], "meeting_id string, sample int, reasoning string")
+    assert sorted((r.meeting_id, r["sample"]) for r in minutes.usable_samples(v).collect()) == [("m", 2), ("m", 2), ("n", 1)]
+    q = spark.createDataFrame([("m", 0, "Анна", "Мы успеем к среде"), ("m", 1, "анна", "Мы успеем к среде!"), ("m", 2, "Пётр", "Мы успеем к среде"), ("m", 3, "null", " "), ("m", 4, None, "Смета готова")], "grp string, pos int, speaker string, quote string")
+    assert {r.pos for r in minutes.kept_highlights(q).collect()} == {0, 2, 4}
+    assert {r.pos for r in minutes.kept_highlights(q, most=1).collect()} == {0}
+
+
+def test_merge_rounds_follow_names(spark):
+    v = lambda *x: [float(i) for i in x]
+    c = spark.createDataFrame([("r", 1, v(1, 0, 0), 5.0), ("r", 2, v(0.99, 0.1, 0), 5.0), ("r", 3, v(0.97, 0.2, 0), 5.0), ("r", 4, v(0, 0, 1), 5.0)], "grp string, label int, centroid array<double>, weight double")
+    one = {(r.label, r.merged) for r in clustering.merge_nearest(c, 0.5).collect()}
+    more = {(r.label, r.merged) for r in clustering.merge_rounds(c, 3, 0.5).collect()}
+    assert (4, 4) in one and (4, 4) in more and len({m for _, m in more}) <= len({m for _, m in one})
+
+
+def test_ranking_twice_changes_nothing(spark):
+    rows = [("A", None, None, None, 0, 1, "1 2 3"), ("B", None, None, None, 0, 1, "1 2 3 4"), ("A", None, None, None, 0, 1, "5")]
+    p = ph(spark, rows)
+    r = phrases.ranked_speakers(p).select("meeting_id", F.col("original_id").alias("speakerId"), "speaker_id")
+    q = p.join(r, ["meeting_id", "speakerId"]).withColumn("speakerId", F.col("speaker_id")).drop("speaker_id")
+    assert phrases.merged_runs(p).count() == phrases.merged_runs(q).count()
+
+
+def test_adapter_retries_and_reports(spark):
+    from palaver.adapters import Echo, apply_adapter
+
+    def make():
+        seen = {}
+
+        def call(prompt):
+            seen[prompt] = seen.get(prompt, 0) + 1
+            if prompt == "bad" or (prompt == "flaky" and seen[prompt] < 2):
+                raise ValueError("no")
+            return Echo()(prompt)
+
+        return call
+
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "flaky"), (4, None)], "id int, prompt string")
+    got = {r.id: (r.answer, r.error) for r in apply_adapter(df, ["id"], ["prompt"], "string", make, waits=(0.01,)).collect()}
+    assert got == {1: ("a", None), 2: (None, "ValueError: no"), 3: ("flaky", None), 4: (None, None)}
