@@ -134,6 +134,18 @@ l AS ({long}), o AS (SELECT *, row_number() OVER (PARTITION BY {keys}, metric OR
 SELECT {keys}, metric, n, {ps}, CAST(0 AS DOUBLE) rank_error FROM o GROUP BY {keys}, metric, n"""
 
 
+#: White space as Python's str.split has it, and line ends as str.splitlines has them.
+_WS, _EOL = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]", r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+_P9 = rf"""WITH c AS (SELECT list(DISTINCT lower(word)) ws FROM common_words),
+d AS (SELECT doc_id, CASE WHEN regexp_replace(text, '{_WS}+', '', 'g') <> '' THEN text END AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') ws, length(regexp_replace(text, '{_WS}+', '', 'g')) solid,
+      list_filter(list_transform(regexp_split_to_array(text, '{_EOL}'), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '') ls FROM d),
+n AS (SELECT doc_id, text, len(ws) n, list_sum(list_transform(ws, lambda x: length(x))) chars, solid, ls, len(list_filter(ws, lambda x: list_contains(cw, x))) usual FROM w, (SELECT ws cw FROM c))
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) n_words, CASE WHEN text IS NOT NULL THEN round(coalesce(chars, 0) / greatest(n, 1), 6) END mean_word_len,
+CASE WHEN text IS NOT NULL THEN round(greatest(0, solid - coalesce(chars, 0)) / greatest(solid, 1), 6) END symbol_ratio,
+CASE WHEN text IS NOT NULL THEN round(len(list_filter(ls, lambda x: x[-1] IN ('.', '!', '?', '…', '»', '"', ')'))) / greatest(len(ls), 1), 6) END end_punct_share,
+CASE WHEN text IS NOT NULL THEN round(usual / greatest(n, 1), 6) END common_share FROM n"""
+
 QUERIES = {"p1_rollup": p1_rollup, "p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p1_from_days": p1_from_days, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_turns": p4_turns, "p5_found": p5_found, "p5_entities": p5_entities, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_stats": p9_stats}
 #: p1: at the scale where the SQL runs no buffer collapses, so the sketch must be exact.
-SQL = {"p1_rollup": _p1_sql("model, day", "model, 'all' AS day"), "p1_percentiles": _p1_sql("model"), "p1_daily": _p1_sql("model, day"), "p1_from_days": _p1_sql("model")}
+SQL = {"p1_rollup": _p1_sql("model, day", "model, 'all' AS day"), "p1_percentiles": _p1_sql("model"), "p1_daily": _p1_sql("model, day"), "p1_from_days": _p1_sql("model"), "p9_stats": _P9}
