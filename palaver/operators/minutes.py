@@ -136,9 +136,15 @@ def merged_glossary(old: DataFrame, new: DataFrame) -> DataFrame:
 def previous_meeting(meetings: DataFrame) -> DataFrame:
     """meeting_id, previous_id: the latest earlier finished meeting of the same project, by (updatedAt, id). meetings: id, projectId, status, updatedAt.
 
-    As-of by a window over the finished meetings of a project, in order of time."""
-    last = F.last(F.when(F.col("status") == "done", F.col("id")), True).over(W.partitionBy("projectId").orderBy("updatedAt", "id").rowsBetween(W.unboundedPreceding, -1))
-    return meetings.where("projectId IS NOT NULL").select(F.col("id").alias("meeting_id"), last.alias("previous_id"))
+    As-of within months: a window looks back inside a project's month, and what it doesn't find comes from the last finished meeting of the
+    months before, so that a project with most of the meetings is spread over its months."""
+    m = meetings.where("projectId IS NOT NULL").select("id", "projectId", "status", "updatedAt").withColumn("_m", F.date_format("updatedAt", "yyyy-MM"))
+    done = F.when(F.col("status") == "done", F.col("id"))
+    inner = W.partitionBy("projectId", "_m").orderBy("updatedAt", "id").rowsBetween(W.unboundedPreceding, -1)
+    last = m.groupBy("projectId", "_m").agg(F.max_by("id", F.when(F.col("status") == "done", F.struct("updatedAt", "id"))).alias("_last"))
+    before = last.select("projectId", "_m", F.last("_last", True).over(W.partitionBy("projectId").orderBy("_m").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    d = m.withColumn("_p", F.last(done, True).over(inner)).join(before, ["projectId", "_m"], "left")
+    return d.select(F.col("id").alias("meeting_id"), F.coalesce("_p", "_before").alias("previous_id"))
 
 
 def usable_samples(votes: DataFrame) -> DataFrame:
