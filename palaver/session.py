@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -35,7 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = getattr(shared_dir, "_own", None) or "file://" + tempfile.mkdtemp(prefix="palaver-")
         shared_dir._own = base
-    return f"{base.rstrip('/')}/palaver-{uuid.uuid4().hex}"
+    to = f"{base.rstrip('/')}/palaver-{uuid.uuid4().hex}"
+    _MADE.append(to)
+    return to
+
+
+_MADE: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes the tables that this process wrote below the shared folder, once nothing reads them any more; gives their number."""
+    n = 0
+    while _MADE:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+    return n
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -52,7 +65,3 @@ def cores(spark: SparkSession) -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def env_dir(default: str) -> str:
-    return os.environ.get("BENCH_SF_DIR", default)
