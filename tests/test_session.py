@@ -4,11 +4,12 @@ from palaver import session
 
 
 def test_written_tables_go_to_the_shared_folder(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    before = getattr(session.shared_dir, "_own", None)
+    session.shared_dir._own = f"file://{tmp_path}/shared"
     try:
         df = session.materialise(spark.range(5).withColumn("x", F.lit("a")))
         assert df.count() == 5 and len(list((tmp_path / "shared").iterdir())) == 1
         assert session.clean_up(spark) >= 1 and not list((tmp_path / "shared").iterdir())
     finally:
-        spark.conf.unset("spark.checkpoint.dir")
+        session.shared_dir._own = before
     assert session.shared_dir(spark).startswith("file://")
