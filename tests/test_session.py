@@ -6,6 +6,6 @@ from palaver import session
 def test_written_tables_go_to_the_shared_folder(spark):
     df = session.materialise(spark.range(5).withColumn("x", F.lit("a")))
     base = spark.conf.get("spark.checkpoint.dir", None) or session.shared_dir._own
-    name = lambda p: p.split(":")[-1].replace("//", "/").rstrip("/")
+    name = lambda p: "/" + p.split(":")[-1].strip("/")
     assert df.count() == 5 and all(name(f).startswith(name(base)) for f in df.inputFiles())
     assert session.clean_up(spark) >= 1 and not session._MADE
