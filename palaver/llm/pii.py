@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm import names
+from palaver.llm.batches import pieces
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 NEAR = 90  # characters around a trigger that an item may reach
@@ -368,7 +369,7 @@ def items(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [(i, k) for i, t in enumerate(batch.column(len(keys)).to_pylist()) for k in kinds(t)]
             got = pa.RecordBatch.from_pylist([{"i": i, "kind": k} for i, k in rows], schema=schema)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(got.column("i")) for c in range(len(keys))), got.column("kind")], names=[*keys, "kind"])
@@ -381,7 +382,7 @@ def redacted(df: DataFrame, keys: list[str], text: str, key: bytes, name: str =
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = pa.array([redact(t, key) for t in batch.column(len(keys)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keys))), out], names=[*keys, name])
 

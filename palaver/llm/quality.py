@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palaver.llm.batches import pieces
+
 #: Most documents that the trees are fitted on, chosen by a hash of the key.
 TRAIN_ROWS = 8000
 STATS = ["n_words", "mean_word_len", "symbol_ratio", "end_punct_share", "common_share"]
@@ -243,7 +245,7 @@ def document_statistics(docs: DataFrame, key: str, text: str, words: DataFrame,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.value
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(1).to_pylist()
             some = [i for i, t in enumerate(texts) if t and t.strip()]
             x = np.full((len(texts), len(names)), np.nan)

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palaver.llm.batches import pieces
+
 DEFAULT_DIR = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -149,15 +151,13 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str | None = None, fo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                flat, offsets = [], [0]
-                for t in part.column(1).to_pylist():
-                    flat += enc.encode(t)
-                    offsets.append(len(flat))
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(flat, "int32")))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "ids"])
+        for part in pieces(batches):
+            flat, offsets = [], [0]
+            for t in part.column(1).to_pylist():
+                flat += enc.encode(t)
+                offsets.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(flat, "int32")))
+            yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "ids"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
@@ -169,7 +169,7 @@ def count_tokens(df: DataFrame, text: str, keep: list[str], vocabulary: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared)
-        for batch in batches:
+        for batch in pieces(batches):
             n = pa.array([len(enc.encode(t)) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), n], names=[*keep, name])
 
