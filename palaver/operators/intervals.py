@@ -26,7 +26,7 @@ def boundaries(df: DataFrame, keys: list[str], start: str, end: str, bucket: int
     ).where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys) + f" AND {start} IS NOT NULL AND {end} IS NOT NULL AND {end} > {start}" if keys else "true")
     spans = spans.select(*keys, F.floor(F.col("_e.t") / F.lit(bucket)).alias("_b"), F.col("_e.t").alias("_t"), F.col("_e.d").alias("_d"))
     at = spans.groupBy(*keys, "_b", "_t").agg(F.sum("_d").alias("_d"))
-    at = at.where("_d <> 0")  # as many spans end as start here: the count is the same on both sides, and it isn't zero
+    at = at.where("_d <> 0 AND _b IS NOT NULL AND _t IS NOT NULL")  # as many spans end as start here: the count is the same on both sides, and it isn't zero
     inner = W.partitionBy(*keys, "_b").orderBy("_t").rowsBetween(W.unboundedPreceding, 0)
     total = at.groupBy(*keys, "_b").agg(F.sum("_d").alias("_sum"))
     carry = total.select(*keys, "_b", F.coalesce(F.sum("_sum").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_carry"))
