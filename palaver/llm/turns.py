@@ -225,8 +225,8 @@ def infer_missing(rows: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def texts(phrases: DataFrame) -> DataFrame:
-    """meeting_id, pos, clean: the clean text of every phrase."""
-    return deduped(phrases, {"clean": clean_text("text")})
+    """meeting_id, pos, clean: the clean text of every phrase, repeated rows repeatedly."""
+    return phrases.where("meeting_id IS NOT NULL AND pos IS NOT NULL").select("meeting_id", F.col("pos").cast("int").alias("pos"), clean_text("text").alias("clean"))
 
 
 def prepared(phrases: DataFrame) -> DataFrame:
@@ -236,12 +236,13 @@ def prepared(phrases: DataFrame) -> DataFrame:
     rows = materialise(_resolved(_timed(p)).select("meeting_id", "pos", "t", "speaker", "noise"))
     if rows.where("speaker IS NULL").isEmpty():
         return rows
-    guess = infer_missing(rows.select("meeting_id", "pos", "speaker"), texts(phrases).withColumnRenamed("clean", "text"))
+    guess = infer_missing(rows.select("meeting_id", "pos", "speaker"), deduped(phrases, {"text": clean_text("text")}))
     return rows.join(guess, ["meeting_id", "pos"], "left").withColumn("speaker", F.coalesce("speaker", "inferred")).drop("inferred")
 
 
 def turns(rows: DataFrame, text: DataFrame | None = None) -> DataFrame:
-    """meeting_id, speaker, first_pos, last_pos, phrases, from_ms and, if ``text`` (as of texts()) is given, text (the clean texts joined by spaces).
+    """meeting_id, speaker, first_pos, last_pos, phrases, from_ms and, if ``text`` (as of texts()) is given, text (the clean texts joined by spaces; of
+    repeated rows the smallest text).
 
     rows: as of prepared(). A turn is a longest run, in order of time and pos, of one speaker's phrases that aren't noise; phrases of which nobody
     knows the speaker (null) count as one speaker. Nulls in meeting_id or pos drop a row; an empty table gives no turns."""
@@ -250,12 +251,12 @@ def turns(rows: DataFrame, text: DataFrame | None = None) -> DataFrame:
         rows = rows.join(text, ["meeting_id", "pos"])
     cols = ["meeting_id", "t", "pos", "speaker", *(["clean"] if with_text else [])]
     n = max(2, shuffle_partitions(rows.sparkSession))
-    ordered = rows.where("NOT noise").select(*cols).repartitionByRange(n, "meeting_id", "t", "pos").sortWithinPartitions("meeting_id", "t", "pos")
+    ordered = rows.where("NOT noise").select(*cols).repartitionByRange(n, "meeting_id", "t", "pos").sortWithinPartitions("meeting_id", "t", "pos", *(["clean"] if with_text else []))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["meeting_id", "speaker", "first_t", "first_pos", "last_t", "last_pos", "n", "edge", *(["text"] if with_text else [])]
         pending: list | None = None  # the run that may go on in the next batch
-        first = True
+        first, seen = True, (None, None, None)
 
         def row(m, s, t0, p0, t1, p1, k, texts):
             return [m, s, t0, p0, t1, p1, k, texts]
@@ -270,6 +271,17 @@ def turns(rows: DataFrame, text: DataFrame | None = None) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
+            if with_text:  # rows of one place follow each other: only the first counts
+                mi, ti, pi = (pa.compute.fill_null(b.column(c).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False) for c in ("meeting_id", "t", "pos"))
+                keep = np.ones(b.num_rows, bool)
+                keep[1:] = (mi[1:] != mi[:-1]) | (ti[1:] != ti[:-1]) | (pi[1:] != pi[:-1])
+                place = lambda k: tuple(b.column(c)[k].as_py() for c in ("meeting_id", "t", "pos"))  # noqa: B023, E731
+                keep[0] = place(0) != seen
+                seen = place(b.num_rows - 1)
+                if not keep.all():
+                    b = b.filter(pa.array(keep))
+                    if not b.num_rows:
+                        continue
             m, s = b.column("meeting_id"), b.column("speaker")
             mi = m.dictionary_encode().indices.to_numpy(zero_copy_only=False)
             si = pa.compute.fill_null(s.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
