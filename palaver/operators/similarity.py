@@ -14,9 +14,14 @@ NEAR, LOW = 0.6, 0.3
 
 
 def _prefix(g: str, least: float) -> Column:
-    """The grams, in one global order, of which two sets of Dice >= least share at least one: an exact filter."""
+    """Hashes of the grams, in one global order, of which two sets of Dice >= least share at least one: an exact filter."""
     n = F.size(g) - F.ceil(F.size(g) * F.lit(least / (2 - least)) - 1e-9).cast("int") + 1
-    return F.slice(F.array_sort(F.transform(g, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), 1, n)
+    return F.slice(F.array_sort(F.transform(g, lambda x: F.xxhash64(x))), 1, n)
+
+
+def _not_alone(items: DataFrame) -> DataFrame:
+    """Items of groups of two or more: the others have no pairs, and their texts needn't be looked at."""
+    return items.join(items.groupBy("grp").agg(F.count("*").alias("_n")).where("_n > 1").select("grp"), "grp", "left_semi")
 
 
 def dice_pairs(items: DataFrame, least: float = LOW, below: float | None = None) -> DataFrame:
@@ -24,9 +29,9 @@ def dice_pairs(items: DataFrame, least: float = LOW, below: float | None = None)
 
     items: grp, pos, text; (grp, pos) unique, grp not null. Exact: candidates come from an equi-join on the rarest-possible prefix of the sorted
     gram sets and a length bound, then the whole sets are compared. Texts under three letters have no grams and no pairs."""
-    d = items.select("grp", "pos", X.grams(F.col("text")).alias("g")).where(F.size("g") > 0)
+    d = _not_alone(items.select("grp", "pos", "text")).select("grp", "pos", X.grams(F.col("text")).alias("g")).where(F.size("g") > 0)
     p = d.select("grp", "pos", F.size("g").alias("n"), F.explode(_prefix("g", least)).alias("k"))
-    a, b = (p.select("grp", F.col("pos").alias(i), F.col("n").alias(f"n_{i}"), F.col("k.x").alias("k")) for i in ("i", "j"))
+    a, b = (p.select("grp", F.col("pos").alias(i), F.col("n").alias(f"n_{i}"), "k") for i in ("i", "j"))
     bound = least / (2 - least)
     c = a.join(b, ["grp", "k"]).where(f"i < j AND least(n_i, n_j) >= {bound} * greatest(n_i, n_j) - 1e-9").select("grp", "i", "j").distinct()
     c = c.join(d.select("grp", F.col("pos").alias("i"), F.col("g").alias("gi")), ["grp", "i"]).join(d.select("grp", F.col("pos").alias("j"), F.col("g").alias("gj")), ["grp", "j"])
@@ -36,7 +41,7 @@ def dice_pairs(items: DataFrame, least: float = LOW, below: float | None = None)
 
 def entity_pairs(items: DataFrame, least: float = 0.5) -> DataFrame:
     """grp, i, j, score: pairs whose named entities overlap: shared / smaller set >= least."""
-    d = items.select("grp", "pos", X.entities(F.col("text")).alias("e")).where(F.size("e") > 0)
+    d = _not_alone(items.select("grp", "pos", "text")).select("grp", "pos", X.entities(F.col("text")).alias("e")).where(F.size("e") > 0)
     x = d.select("grp", "pos", F.size("e").alias("n"), F.explode("e").alias("k"))
     a, b = (x.select("grp", F.col("pos").alias(i), F.col("n").alias(f"n_{i}"), "k") for i in ("i", "j"))
     c = a.join(b, ["grp", "k"]).where("i < j").groupBy("grp", "i", "j").agg((F.count("*") / F.min(F.least("n_i", "n_j"))).alias("score"))
@@ -58,8 +63,8 @@ def resembling(items: DataFrame, others: DataFrame, least: float = NEAR) -> Data
     """grp, pos of the items with a Dice score of at least ``least`` to one of the group's others."""
     d = items.select("grp", "pos", X.grams(F.col("text")).alias("g")).where(F.size("g") > 0)
     o = others.select("grp", X.grams(F.col("text")).alias("h")).where(F.size("h") > 0).distinct()
-    a = d.select("grp", "pos", "g", F.explode(_prefix("g", least)).alias("k")).select("grp", "pos", "g", F.col("k.x").alias("k"))
-    b = o.select("grp", "h", F.explode(_prefix("h", least)).alias("k")).select("grp", "h", F.col("k.x").alias("k"))
+    a = d.select("grp", "pos", "g", F.explode(_prefix("g", least)).alias("k")).select("grp", "pos", "g", "k")
+    b = o.select("grp", "h", F.explode(_prefix("h", least)).alias("k")).select("grp", "h", "k")
     return a.join(b, ["grp", "k"]).where(X.dice(F.col("g"), F.col("h")) >= least).select("grp", "pos").distinct()
 
 
