@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +43,23 @@ def shared_dir(spark: SparkSession) -> str:
     return to
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> bool:
+    """Sends the package to the executors' Python, unless they find it by themselves (through PYTHONPATH, or because the driver runs in its folder)."""
+    root = Path(__file__).resolve().parents[1]
+    known = [Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    app = spark.sparkContext.applicationId
+    if root in known or app in _SHIPPED:
+        return False
+    _SHIPPED.add(app)
+    own = tempfile.mkdtemp(prefix="palaver-code-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{own}/palaver", "zip", root, "palaver"))  # the driver hands it out as long as it lives
+    return True
+
+
 _MADE: list[str] = []
 
 
