@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from datetime import date, timedelta
 
@@ -119,10 +120,11 @@ def _lower(t: str) -> str:
     return low if len(low) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
 
 
-def _windows(at: list[int], n: int, near: int = NEAR) -> list[tuple[int, int]]:
+def _windows(at: list[int] | list[tuple[int, int]], n: int, near: int = NEAR) -> list[tuple[int, int]]:
+    """What lies near places or spans, a span as a whole; windows that meet are one."""
     out: list[list[int]] = []
-    for p in sorted(at):
-        lo, hi = max(0, p - near), min(n, p + near)
+    for a, b in sorted(p if isinstance(p, tuple) else (p, p) for p in at):
+        lo, hi = max(0, a - near), min(n, b + near)
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
@@ -228,8 +230,9 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     taken: list[tuple[int, int]] = []
 
     def put(a: int, b: int, kind: str, value: str) -> None:
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
+        i = bisect(taken, (a, b))
+        if (not i or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+            taken.insert(i, (a, b))
             found.append((a, b, kind, value))
 
     for lo, hi in _windows(hits.get("email", []), n):
@@ -240,7 +243,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
                     v = re.sub(rf"\s?[\(\[]?\s?\b{word}\b\s?[\)\]]?\s?", sign, v)
                 put(m.start(), m.end(), "email", v.replace(" ", ""))
     nums = [m.span() for m in _DIGITS.finditer(low)]
-    spots = [*hits.get("words", []), *(p for a, b in nums for p in (a, b))]
+    spots = [*((p, p) for p in hits.get("words", [])), *nums]
     for lo, hi in _windows(spots, n):
         for rx in (*_PASS, *_SNILS, _INN):
             for m in rx.finditer(low, lo, hi):
@@ -249,7 +252,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             d = digits_of(m.group())
             if len(d) >= 8:
                 put(m.start(), m.end(), "id_number", d)
-    for lo, hi in _windows([p for a, b in nums for p in (a, b)], n, 40):
+    for lo, hi in _windows(nums, n, 40):
         for m in _PHONE.finditer(low, lo, hi):
             d = re.sub(r"\D", "", m.group().split("доб")[0])
             put(m.start(), m.end(), "phone", d[-10:])

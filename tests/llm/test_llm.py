@@ -150,6 +150,17 @@ def test_redaction_keeps_the_rest():
     assert pii.kinds("x" * 300_000 + " Мария Пурмачина " + "ы" * 300_000) == ["person"]
 
 
+@pytest.mark.parametrize("between", ["\n", " ", "\t", " - ", "; "])
+def test_long_runs_of_numbers_are_read_whole(between):
+    phones = [f"891234500{i:02d}" for i in range(20)]
+    t = between.join(phones)
+    assert [t[a:b] for a, b, *_ in pii.find(t)] == phones
+    assert not any(p[1:] in pii.redact(t, b"k") for p in phones)
+    row = between.join(["1 204 77", "12 5 60"] * 12)
+    assert pii.kinds(row) == [] and pii.kinds(f"{row}{between}8 912 345-00-01{between}{row}") == ["phone"]
+    assert pii.kinds(f"{row}{between}656-741-635 29{between}{row}") == ["id_number"]
+
+
 def test_feistel_is_a_permutation():
     key = b"secret"
     assert len({pii.feistel(f"{i:03d}", key) for i in range(1000)}) == 1000
