@@ -73,18 +73,26 @@ def _automaton():
 
     a = ahocorasick.Automaton()
     add = lambda w, k: a.add_word(w, (k, w))
-    for w in ("@", "собака", "(at)", "(эт)"):
+    spaces, digits = [[c for c in map(chr, range(0x10000)) if is_(c)] for is_ in (str.isspace, str.isdecimal)]
+    for w in ("@", "собака"):
         add(w, "email")
-    for w in ("девятьсот", "паспорт", "серия", "серии", "снилс", "инн"):
+    for w in ("at", "эт", "dog"):
+        for c in (")", "]", *spaces):
+            add(w + c, "sign")
+    for w in ("паспорт", "сери", "снилс", "инн"):
         add(w, "words")
-    for w in ("улиц", "ул.", "ул ", "переул", "пер.", "проезд", "проспект", "пр-т", "шоссе", "набережн", "наб.", "бульвар", "б-р", "площад", "пл.", "тупик", "алле"):
+    for c in spaces:
+        add(f"{c}номер", "words")
+    for w in ("семь", "девя"):  # what the first number word of a phone holds
+        add(w, "spoken")
+    for w in ("улиц", "переул", "проезд", "пр-д", "просп", "пр-т", "шоссе", "набережн", "бульвар", "б-р", "площад", "пл.", "тупик", "аллея", "аллее", "аллеи", "аллею"):  # `алле` is a form of a given name
         add(w, "address")
-    for f in names.forms():
+    for w in ("ул", "пер", "наб"):
+        for c in (".", ",", "№", "д", *spaces, *digits):
+            add(w + c, "address")
+    for f in (*names.forms(), *names.latin_forms()):
         add(f, "given")
-    for f in names.latin_forms():
-        if len(f) > 3:
-            add(f, "given")
-    for w in ("ович", "евич", "ьич", "овн", "евн", "ичн"):
+    for w in ("ович", "евич", "ьич", "иныч", "овн", "евн", "ичн"):
         add(w, "patronymic")
     a.make_automaton()
     return a
@@ -93,6 +101,10 @@ def _automaton():
 _AUTO = None
 _DIGITS = re.compile(r"\d[\d\s().№-]{7,}\d")
 _DOT = re.compile(r"(?<![а-я])[а-я]\.")
+_LATIN = re.compile("[a-z]")
+_MIXED = re.compile(r"(?<=[а-я])[a-z]|(?<=[a-z])[а-я]")
+_AT = re.compile(r"\s?[\(\[]\s*(?:собака|at|эт|dog)\s*[\)\]]\s?|\sэт\s")
+_NUMBER = frozenset([*UNITS, *TEENS, *TENS, *HUNDREDS])
 
 
 def digits_of(words: str) -> str:
@@ -225,6 +237,10 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             k = "person"
         elif k == "patronymic":
             k = "person"
+        elif k == "sign":
+            if not _sign(low, end + 1 - len(w), end):
+                continue
+            k = "email"
         hits.setdefault(k, []).append(end)
     found: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
@@ -238,12 +254,12 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     for lo, hi in _windows(hits.get("email", []), n):
         for rx in (_MAIL, _SPOKEN_MAIL):
             for m in rx.finditer(low, lo, hi):
-                v = re.sub(r"\s+", " ", m.group())
+                v = re.sub(r"\s+", " ", _AT.sub("@", m.group()))
                 for word, sign in (("нижнее подчеркивание", "_"), ("подчеркивание", "_"), ("собака", "@"), ("точка", "."), ("дефис", "-"), ("тире", "-"), ("минус", "-"), ("плюс", "+")):
                     v = re.sub(rf"\s?[\(\[]?\s?\b{word}\b\s?[\)\]]?\s?", sign, v)
                 put(m.start(), m.end(), "email", v.replace(" ", ""))
     nums = [m.span() for m in _DIGITS.finditer(low)]
-    spots = [*((p, p) for p in hits.get("words", [])), *nums]
+    spots = [*((p, p + NEAR) for p in hits.get("words", [])), *nums]
     for lo, hi in _windows(spots, n):
         for rx in (*_PASS, *_SNILS, _INN):
             for m in rx.finditer(low, lo, hi):
@@ -256,16 +272,15 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
         for m in _PHONE.finditer(low, lo, hi):
             d = re.sub(r"\D", "", m.group().split("доб")[0])
             put(m.start(), m.end(), "phone", d[-10:])
-    if "words" in hits:
-        for lo, hi in _windows(hits["words"], n):
-            for m in _RUN.finditer(low, lo, hi):
-                d = digits_of(m.group())
-                if (len(d) == 11 and re.match("[78][3489]", d)) or (len(d) == 10 and d[0] == "9") or (9 <= len(d) <= 11 and re.match(r"(?:плюс\s+семь|восемь)\s+девятьсот", m.group())):
-                    put(m.start(), m.end(), "phone", d[-10:])
+    for m in _spoken_runs(low, hits.get("spoken", [])):
+        for a, b, d in _spoken_phones(m):
+            put(a, b, "phone", d[-10:])
     for lo, hi in _windows(hits.get("address", []), n):
         for rx in _ADDR:
             for m in rx.finditer(low, lo, hi):
                 put(m.start(), m.end(), "address", re.sub(r"[\s.,]+", " ", m.group()).strip())
+    if not low.isascii() and _LATIN.search(low):  # letters of both scripts in a word: no form of a name is seen in it as it stands
+        hits.setdefault("person", []).extend(m.start() for m in _MIXED.finditer(low))
     for lo, hi in _windows(hits.get("person", []), n):
         while lo > 0 and low[lo - 1].isalpha():
             lo -= 1
@@ -288,6 +303,68 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     return found
 
 
+def _sign(low: str, a: int, end: int) -> bool:
+    """Whether a written-out at sign stands in brackets, or a bare `эт` between spaces, as in a dictated mail."""
+    i = a - 1
+    while i >= 0 and low[i].isspace():
+        i -= 1
+    return i >= 0 and (low[i] in "([" or (low[a:end] == "эт" and i < a - 1 and low[end].isspace()))
+
+
+def _spoken_runs(low: str, at: list[int]) -> Iterator[re.Match]:
+    """The whole runs of number words that hold these places, with a `плюс` before them."""
+    done = -1
+    for p in at:
+        if p < done:
+            continue
+        lo = p
+        while lo > 0 and low[lo - 1].isalpha():
+            lo -= 1
+        while True:
+            b = lo
+            while b > 0 and (low[b - 1] == "," or low[b - 1].isspace()):
+                b -= 1
+            a = b
+            while a > 0 and low[a - 1].isalpha():
+                a -= 1
+            if a == b or b == lo or low[a:b] not in _NUMBER:
+                break
+            lo = a
+        if low[a:b] == "плюс" and b < lo and "," not in low[b:lo]:
+            lo = a
+        if m := _RUN.match(low, lo):
+            done = m.end()
+            yield m
+
+
+def _is_phone(digits: str, said: str) -> bool:
+    n = len(digits)
+    return (n == 11 and bool(re.match("[78][3489]", digits))) or (n == 10 and digits[0] == "9") or (9 <= n <= 11 and bool(re.match(r"(?:плюс\s+семь|восемь)\s+девятьсот", said)))
+
+
+def _spoken_phones(m: re.Match) -> list[tuple[int, int, str]]:
+    """The phones of a run of number words: the run as one phone, or phones one after another that make up all of it; else none."""
+    said = m.group()
+    d = digits_of(said)
+    if len(d) <= 11:
+        return [(m.start(), m.end(), d)] if _is_phone(d, said) else []
+    words, out, i = [w.span() for w in re.finditer("[а-я]+", said)], [], 0
+    while i < len(words):
+        best = None
+        for j in range(i + 4, len(words) + 1):
+            part = said[words[i][0] : words[j - 1][1]]
+            d = digits_of(part)
+            if len(d) > 11:
+                break
+            if (len(d) == 11 and re.match("[78][3489]", d)) or (len(d) == 10 and d[0] == "9"):
+                best = (j, d)
+        if best is None:
+            return []
+        out.append((m.start() + words[i][0], m.start() + words[best[0] - 1][1], best[1]))
+        i = best[0]
+    return out
+
+
 def kinds(text: str | None) -> list[str]:
     return sorted({k for *_, k, _ in find(text)})
 

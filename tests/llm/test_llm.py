@@ -161,6 +161,34 @@ def test_long_runs_of_numbers_are_read_whole(between):
     assert pii.kinds(f"{row}{between}656-741-635 29{between}{row}") == ["id_number"]
 
 
+STREETS = "улица улице улицу улицы ул ул. переулок переулка переулке переулку пер пер. проезд проезда проезде проезду пр-д проспект проспекта просп просп. пр-т шоссе набережная набережной набережную наб наб. бульвар б-р площадь площади пл. тупик аллея аллеи аллею".split()
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        *((f"ivan.k{a}mail.test", "email") for a in ("@", " @ ", "(at)", "[at]", " [at] ", "(dog)", "[dog]", "( dog )", "[ at ]", "(эт)", "[эт]", "(собака)", "[собака]")),
+        ("ivan эт mail точка test", "email"), ("polina точка soykavina\nэт\nmail точка test", "email"), ("ivan собака mail точка test", "email"),
+        *((f"{s} {name}{sep}5", "address") for s in STREETS for name in ("Ольховая",) for sep in (" ", ", ", " д. ", ", дом ")), *((f"Мельничная {s}{sep}5", "address") for s in STREETS for sep in (" ", ", ", " д. ", " №")),
+        ("восемь четыреста девяносто пять сто двадцать три сорок пять шестьдесят семь", "phone"), ("плюс семь четыреста девяносто пять сто двадцать три сорок пять шестьдесят семь", "phone"), ("семь триста сорок три двести двадцать два тридцать три сорок четыре", "phone"),
+        ("восемь девять один два три четыре пять шесть семь восемь девять", "phone"), ("девять, один, два, три, четыре, пять, шесть, семь, восемь, ноль", "phone"), ("восемь восемьсот сто двадцать три сорок пять шестьдесят семь", "phone"),
+        ("серию 45 12 № 123456", "id_number"), ("серии 4512 номер 123456", "id_number"), ("45 12 номер 123456", "id_number"), ("паспорт 4512 n 123456", "id_number"), ("инн физлица " + "четыре " * 12, "id_number"), ("серию четыре пять один два номер один два три четыре пять шесть", "id_number"),
+        ("Lev Kardymov", "person"), ("Мaрия Пурмaчина", "person"), ("Кардымов Савиныч", "person"), ("Сергеевну Кардымову", "person"),
+    ],
+)
+def test_each_form_is_reached_alone(text, kind):
+    assert pii.kinds(text) == pii.kinds(f"Слово {text} и дальше") == [kind]
+
+
+def test_forms_that_look_like_triggers():
+    for t in ("эт точка зрения", "мы эт самое, точка", "см. (at) и [dog]", "семь восемь раз", "девять или десять человек", "передали пер, наб и ул", "Пересохла 5 раз"):
+        assert pii.kinds(t) == [], t
+    spoken = "восемь девятьсот двенадцать триста сорок пять шестьдесят семь восемьдесят девять"
+    assert pii.kinds(spoken + " один") == []
+    assert [k for *_, k, _ in pii.find(", ".join([spoken] * 20))] == ["phone"] * 20
+    assert len({pii.find(f"ivan{a}mail.test")[0][3] for a in ("@", "(at)", " [dog] ", "( эт )")} | {pii.find("ivan эт mail точка test")[0][3]}) == 1
+
+
 def test_feistel_is_a_permutation():
     key = b"secret"
     assert len({pii.feistel(f"{i:03d}", key) for i in range(1000)}) == 1000
