@@ -172,7 +172,8 @@ def infer_missing(rows: DataFrame, phrases: DataFrame) -> DataFrame:
     """meeting_id, pos, inferred: the speaker of the phrases that have none, by the meeting's hidden Markov model.
 
     rows: meeting_id, pos, speaker. A meeting without any known speaker gets none (null). The profiles and transitions are sums over the
-    whole meeting; the path is found within blocks of BLOCK phrases."""
+    whole meeting, borders of blocks included; the path is found within blocks of BLOCK places, each with what stands before it from the last known
+    speaker on and after it up to the first one, so that a border cuts nothing (but where a whole block beside it has no known speaker: then that block is all that is seen)."""
     missing = rows.where("speaker IS NULL").select("meeting_id", "pos")
     meetings = missing.select("meeting_id").distinct()
     ctx = rows.join(meetings, "meeting_id", "left_semi").join(phrases.select("meeting_id", "pos", F.lower("text").alias("text")), ["meeting_id", "pos"], "left")
@@ -182,10 +183,21 @@ def infer_missing(rows: DataFrame, phrases: DataFrame) -> DataFrame:
     profile = counts.groupBy("meeting_id", "speaker").agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("m"), F.sum("c").alias("n"))
     profiles = profile.groupBy("meeting_id").agg(F.collect_list(F.struct("speaker", "m", "n")).alias("profiles"))
     nxt = W.partitionBy("meeting_id", "block").orderBy("pos")
-    pairs = ctx.withColumn("to", F.lead("speaker").over(nxt)).where("speaker IS NOT NULL AND to IS NOT NULL").groupBy("meeting_id", "speaker", "to").agg(F.count("*").alias("c"))
+    known = F.when(F.col("speaker").isNotNull(), F.col("pos"))
+    edges = ctx.groupBy("meeting_id", "block").agg(F.min_by("speaker", "pos").alias("first"), F.max_by("speaker", "pos").alias("last"), F.min(known).alias("known0"), F.max(known).alias("known1"))
+    by = W.partitionBy("meeting_id").orderBy("block")
+    edges = edges.withColumns({"to": F.lead("first").over(by), "next": F.lead("block").over(by), "prev": F.lag("block").over(by)})
+    pairs = ctx.select("meeting_id", "speaker", F.lead("speaker").over(nxt).alias("to")).unionByName(edges.select("meeting_id", F.col("last").alias("speaker"), "to"))
+    pairs = pairs.where("speaker IS NOT NULL AND to IS NOT NULL").groupBy("meeting_id", "speaker", "to").agg(F.count("*").alias("c"))
     steps = pairs.groupBy("meeting_id").agg(F.collect_list(F.struct("speaker", "to", "c")).alias("steps"))
-    blocks = ctx.join(missing.select("meeting_id", F.floor(F.col("pos") / BLOCK).alias("block")).distinct(), ["meeting_id", "block"], "left_semi")
-    blocks = blocks.groupBy("meeting_id", "block").agg(F.sort_array(F.collect_list(F.struct("pos", "speaker", "w"))).alias("rows"))
+    places = F.array(
+        F.struct("block", F.lit(True).alias("own")),
+        F.when(F.col("known1").isNull() | (F.col("pos") >= F.col("known1")), F.struct(F.col("next").alias("block"), F.lit(False).alias("own"))),
+        F.when(F.col("known0").isNull() | (F.col("pos") <= F.col("known0")), F.struct(F.col("prev").alias("block"), F.lit(False).alias("own"))),
+    )
+    blocks = ctx.join(edges.select("meeting_id", "block", "known0", "known1", "next", "prev"), ["meeting_id", "block"]).withColumn("place", F.explode(places)).drop("block").select("*", "place.*")
+    blocks = blocks.join(missing.select("meeting_id", F.floor(F.col("pos") / BLOCK).alias("block")).distinct(), ["meeting_id", "block"], "left_semi")
+    blocks = blocks.groupBy("meeting_id", "block").agg(F.sort_array(F.collect_list(F.struct("pos", "speaker", "w", "own"))).alias("rows"))
     model = blocks.join(profiles, "meeting_id", "left").join(steps, "meeting_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,7 +207,7 @@ def infer_missing(rows: DataFrame, phrases: DataFrame) -> DataFrame:
                 people = [] if r.profiles is None else sorted(r.profiles, key=lambda x: x["speaker"])
                 at = {x["speaker"]: i for i, x in enumerate(people)}
                 if not people:
-                    out += [(r.meeting_id, int(x["pos"]), None) for x in r.rows if x["speaker"] is None]
+                    out += [(r.meeting_id, int(x["pos"]), None) for x in r.rows if x["speaker"] is None and x["own"]]
                     continue
                 s = len(people)
                 word = np.full((s, BUCKETS), 0.1)
@@ -218,7 +230,7 @@ def infer_missing(rows: DataFrame, phrases: DataFrame) -> DataFrame:
                         emit[i] = word[:, np.asarray(x["w"], int)].sum(1)
                 emit = np.maximum(emit, -1e9)
                 path = viterbi(emit, share - np.log(np.exp(share).sum()), step)
-                out += [(r.meeting_id, int(x["pos"]), people[path[i]]["speaker"]) for i, x in enumerate(r.rows) if x["speaker"] is None]
+                out += [(r.meeting_id, int(x["pos"]), people[path[i]]["speaker"]) for i, x in enumerate(r.rows) if x["speaker"] is None and x["own"]]
             yield pd.DataFrame(out, columns=["meeting_id", "pos", "inferred"])
 
     return model.mapInPandas(run, "meeting_id string, pos int, inferred string")

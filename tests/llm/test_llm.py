@@ -249,6 +249,20 @@ def test_missing_labels_by_language(spark):
     assert got["m", 40] == "B" and got["m", 41] == "A" and got["n", 0] is None
 
 
+def test_missing_speakers_across_a_border(spark, monkeypatch):
+    monkeypatch.setattr(speech, "BLOCK", 8)
+    at = "2024-01-01 00:00:00"
+    row = lambda m, i, who: (m, i, who, None, None, None, i, None if who is None else "бетон арматура опалубка" if who == "A" else "смета", at)
+    rows = [row("after", i, "BA"[i % 2]) for i in range(8)] + [row("after", 8, None)]
+    rows += [row("before", 7, None)] + [row("before", i, "AB"[i % 2]) for i in range(8, 16)]
+    rows += [row("long", i, None if 6 <= i <= 9 else "BA"[i % 2]) for i in range(16)]
+    df = spark.createDataFrame(rows, PH).withColumn("arrivedAt", F.to_timestamp("arrivedAt"))
+    got = sorted((r.meeting_id, r.pos, r.speaker) for r in speech.prepared(df).collect())
+    assert len(got) == len(rows)
+    got = {(m, i): who for m, i, who in got}
+    assert got["after", 8] == got["before", 7] == "B" and [got["long", i] for i in range(6, 10)] == ["B", "A", "B", "A"]
+
+
 def test_runs_over_many_partitions(spark):
     at, r = "2024-01-01 00:00:00", random.Random(9)
     rows = [("big" if i % 3 else f"m{i % 7}", i, r.choice("AABC"), None, None, None, r.choice([i * 10, i * 10, 500]), "слово", at) for i in range(3000)]
