@@ -330,6 +330,18 @@ def test_banding_reaches_its_recall():
     assert found / total >= 0.95
 
 
+def test_swaps_in_short_names_are_candidates(spark):
+    r, rows = random.Random(12), []
+    for i in range(300):
+        s = "".join(r.sample("abvgdeziklmnoprstu", r.randrange(4, 8)))
+        k = r.randrange(len(s) - 1)
+        t = s[:k] + s[k + 1] + s[k] + s[k + 2 :]
+        assert linking.osa(s, t) == 1 and linking.monge_elkan(s, t) >= linking.MONGE_ELKAN
+        rows += [(i, s), (i, t)]
+    b = linking._bands(spark.createDataFrame(rows, "i int, name string"), ["i", "name"], linking.tune())
+    assert b.groupBy("i", "band", "bh").agg(F.countDistinct("name").alias("n")).where("n = 2").select("i").distinct().count() == 300
+
+
 def test_distances():
     assert linking.osa("abcd", "abdc") == 1 and linking.osa("abc", "abc") == 0 and linking.osa("a", "abcdef", 2) > 2
     assert linking.monge_elkan("вектор лифт", "лифт вектор") == 1.0
