@@ -27,6 +27,7 @@ from palaver.llm.batches import pieces
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 NEAR = 90  # characters around a trigger that an item may reach
+TAG = 32  # hex digits of a keyed tag: 128 bits, so that different values of any corpus have different tags
 
 #: Number words.
 UNITS = {w: i for i, w in enumerate("ноль один два три четыре пять шесть семь восемь девять".split())} | {"нуль": 0, "одна": 1, "две": 2}
@@ -424,7 +425,7 @@ def pseudonym(kind: str, value: str, key: bytes) -> str:
             body = feistel(value[:10], key, "inn")
             return body + (inn_check(body) if value[10:] == inn_check(value[:10]) else feistel(value[10:], key, "inn2"))
         return feistel(value, key, "id")
-    return hmac.new(key, f"{kind}|{value}".encode(), hashlib.sha256).hexdigest()[:8]
+    return hmac.new(key, f"{kind}|{value}".encode(), hashlib.sha256).hexdigest()[:TAG]
 
 
 def redact(text: str | None, key: bytes) -> str | None:

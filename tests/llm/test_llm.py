@@ -189,6 +189,12 @@ def test_forms_that_look_like_triggers():
     assert len({pii.find(f"ivan{a}mail.test")[0][3] for a in ("@", "(at)", " [dog] ", "( эт )")} | {pii.find("ivan эт mail точка test")[0][3]}) == 1
 
 
+def test_tags_of_different_values_differ():
+    tag = lambda v: pii.pseudonym("email", v, b"k")
+    assert len({tag(f"a{i}@mail.test") for i in range(300_000)}) == 300_000
+    assert len(tag("a@mail.test")) >= 16 and tag("a@mail.test") == tag("a@mail.test")
+
+
 def test_feistel_is_a_permutation():
     key = b"secret"
     assert len({pii.feistel(f"{i:03d}", key) for i in range(1000)}) == 1000
