@@ -97,7 +97,7 @@ def dice(a: Column, b: Column) -> Column:
 
 def entities(t: Column) -> Column:
     """Distinct capitalised words, capital abbreviations and numbers of two or more digits, after the first word; in lower case."""
-    w = F.transform(F.slice(words(t), 2, 100_000), lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}-]", ""))
+    w = F.transform(F.filter(words(t), lambda _, i: i > 0), lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}-]", ""))
     keep = F.filter(w, lambda x: x.rlike("^[А-ЯЁ][а-яё]+(-[А-ЯЁ]?[а-яё]+)?$") | x.rlike("^[А-ЯЁ]{2,}$") | x.rlike("^[0-9]{2,}$"))
     return F.array_distinct(F.transform(keep, lambda x: F.lower(x)))
 

@@ -45,7 +45,7 @@ def quality_class(rms_: Column, clip: Column, silence: Column, snr: Column) -> C
 def mono(channels: Column) -> Column:
     """The mean of the channels, sample by sample."""
     n = F.size(channels)
-    return F.aggregate(F.slice(channels, 2, 100), F.element_at(channels, 1), lambda a, b: F.zip_with(a, b, lambda x, y: x + y), lambda s: F.transform(s, lambda x: x / n))
+    return F.aggregate(F.filter(channels, lambda _, i: i > 0), F.element_at(channels, 1), lambda a, b: F.zip_with(a, b, lambda x, y: x + y), lambda s: F.transform(s, lambda x: x / n))
 
 
 def gained(c: Column, target: float = 0.1, most: float = 8.0) -> Column:

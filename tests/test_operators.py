@@ -168,6 +168,11 @@ def test_versions(spark):
     assert {r.id for r in audit.without_deleted(d, new, "id").collect()} == {"b"}
 
 
+def test_mono_of_many_channels(spark):
+    df = spark.createDataFrame([([[float(i), 1.0] for i in range(150)],), ([[2.0, 3.0]],)], "c array<array<double>>")
+    assert [r[0] for r in df.select(audio.mono(F.col("c"))).collect()] == [[74.5, 1.0], [2.0, 3.0]]
+
+
 def test_signals():
     x = np.concatenate([np.zeros(100), np.ones(100), np.zeros(300)])
     assert len(audio.voiced(x, 10, 0.5, 1, 2)) == 10 * (2 + 12 + 2)

@@ -82,3 +82,9 @@ def test_json_and_scoring_form(spark):
     assert one(spark, X.json_object, "{") is None
     assert one(spark, X.scoring_form, "Спикер 1: Ёлка, да!") == "елка да"
     assert one(spark, lambda c: X.timecode(c.cast("long")), "3661000") == "1:01:01"
+
+
+def test_entities_of_a_very_long_text(spark):
+    t = "слово " * 100_005 + "Ольховка и 125"
+    assert sorted(one(spark, X.entities, t)) == ["125", "ольховка"]
+    assert one(spark, X.entities, "Ольховка") == [] and one(spark, X.entities, "") == [] and one(spark, X.entities, None) is None
