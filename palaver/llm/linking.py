@@ -7,8 +7,10 @@ the words of an organisation without its legal form. Surnames and organisations
   recall at the lowest similarity s that a single typo leaves in a name of more than SHORT letters (tune()). Shorter names have one more key, their sorted letters, which a
   swap of neighbours doesn't change: it leaves 0.25 of the 2-grams of four letters, 0.33 of five, 0.40 of six.
 * Candidates are verified by Monge-Elkan similarity of their words and an edit bound.
-* Star clustering: names that are well attested over the whole corpus (in many groups, or of a stem and an ending that are each common) are centres; one that is far less so is
-  a satellite and joins its best centre only. Two well attested names are never joined, so two real surnames one letter apart stay two. Centres attract rows by aggregation, so no list of all pairs of a group is made.
+* Star clustering: a name hangs on a centre one edit away that at least FAR times as many groups have (a typo against a name); signatures, candidates and verification run once
+  per distinct name of the corpus, and each group takes up the links of its own names. A centre that the group lacks still joins two of the group's names that hang on it. Two names that
+  are both rare are joined inside their group if their given names agree. Two well attested names are never joined, so two real surnames one letter apart stay two. Every rule is a
+  ratio of counts or a fixed count of groups, so none moves with the size of the corpus.
 
 A short form (a lone given name, surname, given name with patronymic, initials) means the only full person of the group that it can mean. Candidates are counted
 per lookup key, by aggregation; a short form with two or more stays alone. Pairs come from an equi-join on the entity.
@@ -22,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +36,8 @@ ROWS = 2
 SHORT = 7
 RECALL, SIMILARITY = 0.99, 0.42
 MONGE_ELKAN = 0.75
-#: How many times as well attested a centre is that a plausible name may hang on; least share of all names that makes the parts of a name plausible.
-FAR, SHARE = 4, 0.002
+#: How many times as many groups have a centre as have a name that hangs on it; a name that fewer groups have is rare.
+FAR = RARE = 4
 #: Entries that name nobody, and legal forms.
 NOBODY = frozenset(
     ["null", "none", "nan", "n/a", "na", "-", "—", "?", "команда", "все", "не указано", "не указан", "не указана", "не определено", "неизвестно", "неизвестный", "нет", "никто", "участники", "коллеги", "все участники", "вся команда", "не назначен", "не назначено", "unknown", "team", "all", "undefined", "спикер"]
@@ -236,18 +239,22 @@ def parse(spelling: str) -> dict | None:
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**61 - 1, (2, 256), dtype=np.uint64)
 
 
-def signature(name: str, n: int) -> np.ndarray:
-    """MinHash values of the padded 2-grams of a name."""
-    s = f"^{name}$"
-    grams = np.array([hash_gram(s[i : i + 2]) for i in range(len(s) - 1)], np.uint64)
+def signatures(words: list[str], n: int) -> np.ndarray:
+    """n MinHash values of the padded 2-grams of each word (a row a word)."""
+    texts = [f"^{w}$" for w in words]
+    grams = np.array([hash_gram(t[i : i + 2]) for t in texts for i in range(len(t) - 1)], np.uint64)
+    starts = np.cumsum([0] + [len(t) - 1 for t in texts[:-1]])
+    out = np.empty((len(words), n), np.uint64)
     with np.errstate(over="ignore"):
-        h = grams[:, None] * (_SEEDS[0, :n] | np.uint64(1)) + _SEEDS[1, :n]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return h.min(0)
+        for j in range(n):  # a hash at a time keeps the arrays as small as the batch
+            h = grams * (_SEEDS[0, j] | np.uint64(1)) + _SEEDS[1, j]
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            out[:, j] = np.minimum.reduceat(h ^ (h >> np.uint64(32)), starts)
+    return out
 
 
+@lru_cache(maxsize=100_000)
 def hash_gram(g: str) -> int:
     x = 1469598103934665603
     for b in g.encode():
@@ -255,89 +262,156 @@ def hash_gram(g: str) -> int:
     return x
 
 
-_PARSED = "kind string, name string, given string, patr string, gi string, pi string, si string"
 _PARTS = ["kind", "name", "given", "patr", "gi", "pi", "si"]
 
 
-def _map_rows(df: DataFrame, keep: list[str], ddl: str, names_out: list[str], f) -> DataFrame:
-    """mapInArrow with the columns ``keep`` and, for each row, the dicts that f gives for the values of ``keep``."""
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+@lru_cache(maxsize=200_000)
+def _read(spelling: str) -> dict | None:
+    return parse(spelling)
+
+
+def clean_spelling(c: Column | str) -> Column:
+    """Outer spaces dropped, inner runs of spaces made one."""
+    return F.trim(F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"[\s ]+", " "))
+
+
+def parsed(spellings: DataFrame) -> DataFrame:
+    """grp, spelling and the parts; spellings that name nobody are left out. Each spelling is read once a batch."""
+    one = spellings.where("grp IS NOT NULL AND spelling IS NOT NULL AND spelling <> ''").select("grp", "spelling").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
+        for batch in batches:
+            d = batch.column("spelling").dictionary_encode()
+            parts = [_read(x) for x in d.dictionary.to_pylist()]
+            named = pc.take(pa.array([x is not None for x in parts], pa.bool_()), d.indices)
+            cols = [pc.take(pa.array([x and x[c] for x in parts], pa.string()), d.indices) for c in _PARTS]
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("spelling"), *cols], names=["grp", "spelling", *_PARTS]).filter(named)
+
+    return one.mapInArrow(run, f"grp {spellings.schema['grp'].dataType.simpleString()}, spelling string, " + ", ".join(f"{c} string" for c in _PARTS))
+
 
-        schema = to_arrow_schema(schema_of)
+def banded(df: DataFrame, keep: list[str], bands: int) -> DataFrame:
+    """keep, band, bh: a row for each band of a row's ``name``; those of at most SHORT letters have one more, of their sorted letters."""
+    ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            out = [{c: r[c] for c in keep} | x for r in rows for x in f(r)]
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            if not batch.num_rows:
+                continue
+            words = batch.column("name").to_pylist()
+            sig = signatures(words, bands * ROWS).reshape(len(words), bands, ROWS)
+            with np.errstate(over="ignore"):
+                h = sig[:, :, 0].copy()
+                for i in range(1, ROWS):
+                    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, i]
+            short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+            at = np.concatenate([np.repeat(np.arange(len(words)), bands), np.array(short, int)])
+            band = np.concatenate([np.tile(np.arange(bands, dtype=np.int32), len(words)), np.full(len(short), bands, np.int32)])
+            bh = np.concatenate([h.reshape(-1), np.array([hash_gram("".join(sorted(words[i]))) for i in short], np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in keep), pa.array(band), pa.array(bh)], names=[*keep, "band", "bh"])
 
-    from pyspark.sql.types import StructType
+    return df.select(*keep).mapInArrow(run, f"{ddl}, band int, bh long")
 
-    schema_of = StructType.fromDDL(f"{kinds}, {ddl}")
-    return df.select(*keep).mapInArrow(run, schema_of)
 
+#: Kinds that may mean the same: equal ones, and a lone word with either.
+_KINDS = "(kind1 = kind2 OR kind1 = 'u' OR kind2 = 'u')"
+#: What the JVM can tell cheaply of one edit (a swap of neighbours is two for it); verified() looks again.
+_CLOSE = "abs(length(name1) - length(name2)) <= 1 AND levenshtein(name1, name2, 2) BETWEEN 0 AND 2"
 
-def clean_spelling(c: Column | str) -> Column:
-    """Outer spaces dropped, inner runs of spaces made one."""
-    return F.trim(F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"[\s ]+", " "))
 
+def verified(pairs: DataFrame) -> DataFrame:
+    """The pairs (name1, name2) that are one edit apart and alike by Monge-Elkan, with sim."""
 
-def parsed(spellings: DataFrame) -> DataFrame:
-    """grp, spelling and the parts; spellings that name nobody are left out."""
-    one = spellings.where("grp IS NOT NULL AND spelling IS NOT NULL AND spelling <> ''").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            two = list(zip(batch.column("name1").to_pylist(), batch.column("name2").to_pylist(), strict=True))
+            sim = [monge_elkan(a, b) if osa(a, b, 1) <= 1 else 0.0 for a, b in two]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sim, pa.float64())], names=[*batch.schema.names, "sim"]).filter(pa.array([x >= MONGE_ELKAN for x in sim], pa.bool_()))
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
+    return pairs.mapInArrow(run, f"{ddl}, sim double")
+
+
+#: Whether two given names or initials may be one person's: equal, one the initial of the other, or one unknown (empty).
+_AGREE = "(startswith(g1, g2) OR startswith(g2, g1))"
+_KEY = ["grp", "kind", "name", "g"]
+
+
+def _as(df: DataFrame, i: int, keep: list[str], rest: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` as they are and ``rest`` with a number behind."""
+    return df.select(*keep, *(F.col(c).alias(f"{c}{i}") for c in rest))
 
-    def f(r):
-        x = parse(r["spelling"])
-        return [x] if x else []
 
-    return _map_rows(one, ["grp", "spelling"], _PARSED, _PARTS, f)
+def _centre(df: DataFrame, order: Column) -> DataFrame:
+    """Of the candidates (kind2, name2) of each token (grp, kind1, name1, g1) the first by ``order``."""
+    best = df.groupBy("grp", F.col("kind1").alias("kind"), F.col("name1").alias("name"), F.col("g1").alias("g")).agg(F.max_by(F.struct("name2", "kind2"), order).alias("c"))
+    return best.select(*_KEY, F.col("c.name2").alias("centre"), F.col("c.kind2").alias("ckind"))
 
 
-def _bands(df: DataFrame, keep: list[str], bands: int) -> DataFrame:
-    def f(r):
-        sig = signature(r["name"], bands * ROWS)
-        short = [{"band": bands, "bh": hash_gram("".join(sorted(r["name"]))) - 2**63}] if len(r["name"]) <= SHORT else []
-        return short + [{"band": i, "bh": int.from_bytes(sig[i * ROWS : (i + 1) * ROWS].tobytes()[:8], "little", signed=True) ^ int.from_bytes(sig[i * ROWS : (i + 1) * ROWS].tobytes()[8:16], "little", signed=True) >> 1} for i in range(bands)]
+def near_names(counted: DataFrame, bands: int) -> DataFrame:
+    """kind1, name1, n1, kind2, name2, n2, sim: distinct names one edit from names that FAR times as many groups have. counted: kind, name, n.
 
-    return _map_rows(df, keep, "band int, bh long", ["band", "bh"], f)
+    The join is a shuffle by hint: its sides grow in Python, where Spark's estimates don't see it."""
+    cols = ("kind", "name", "n")
+    b = banded(counted, list(cols), bands)
+    near = _as(b, 1, ["band", "bh"], cols).join(_as(b.where(F.col("n") >= FAR), 2, ["band", "bh"], cols).hint("merge"), ["band", "bh"])
+    return verified(near.where(f"n2 >= {FAR} * n1 AND name1 <> name2 AND {_KINDS} AND {_CLOSE}").drop("band", "bh").distinct())
 
 
 def centres(tokens: DataFrame, bands: int | None = None) -> DataFrame:
-    """grp, kind, name, g, centre, ckind: of every name of a group the one it is taken for (itself, if it is a centre or near to none).
+    """grp, kind, name, g, centre, ckind: the names of a group that are taken for another one, and that other one (which is taken for itself).
 
-    tokens: grp, kind, name, g (distinct; g: given name or null). How well a name is attested is the number of groups that have it; its parts are
-    plausible if its first four letters and the rest each make up at least SHARE of all names. A name hangs on another, one edit away, that is attested FAR times
-    as well; or, two edits away at most, on a better one if its own parts are not plausible. With two given names they must be equal; with only one the stricter of both rules holds."""
+    tokens: grp, kind, name, g (distinct; g: given name, its initial, or empty). How well a name is attested is the number of groups that have it."""
     bands = bands or tune()
-    alone = tokens.groupBy("kind", "name").agg(F.countDistinct("grp").alias("groups"))
-    alone = materialise(alone).withColumn("head", F.substring("name", 1, 4)).withColumn("tail", F.expr("substring(name, 5)"))
-    people = alone.where("kind = 'p'")
-    heads, tails = people.groupBy("head").agg(F.sum("groups").alias("heads")), people.groupBy("tail").agg(F.sum("groups").alias("tails"))
-    least = F.lit(max(4.0, SHARE * (people.agg(F.sum("groups")).first()[0] or 0)))
-    weigh = alone.join(heads, "head", "left").join(tails, "tail", "left")
-    weigh = weigh.select("kind", "name", "groups", ((F.col("kind") == "p") & (F.coalesce("heads", F.lit(0)) >= least) & (F.coalesce("tails", F.lit(0)) >= least)).alias("parts"))
-    cols = ["grp", "kind", "name", "g", "groups", "parts"]
-    b = _bands(materialise(tokens.join(weigh, ["kind", "name"]).select(*cols)), cols, bands)
-    x, y = ([F.col(c).alias(f"{c}{i}") for c in cols[1:]] for i in (1, 2))
-    pair = b.select("grp", "band", "bh", *x).join(b.select("grp", "band", "bh", *y), ["grp", "band", "bh"])
-    pair = pair.where("name1 <> name2 AND (kind1 = kind2 OR kind1 = 'u' OR kind2 = 'u') AND abs(length(name1) - length(name2)) <= 2 AND (g1 IS NULL OR g2 IS NULL OR g1 = g2)")
-    better = (F.col("groups2") > F.col("groups1")) | ((F.col("groups2") == F.col("groups1")) & ((F.col("parts2") & ~F.col("parts1")) | ((F.col("parts2") == F.col("parts1")) & (F.col("name2") < F.col("name1")))))
-    far = F.col("groups2") >= FAR * F.col("groups1")
-    alike = F.col("g1").eqNullSafe(F.col("g2"))
-    pair = pair.withColumn("far", far & (alike | ~F.col("parts1"))).withColumn("weak", ~F.col("parts1") & better & (alike | far)).where("far OR weak")
-    keep = ["grp", "kind1", "name1", "g1", "kind2", "name2", "g2", "groups2", "far", "weak"]
-
-    def f(r):
-        d, m = osa(r["name1"], r["name2"], 2), monge_elkan(r["name1"], r["name2"])
-        ok = m >= MONGE_ELKAN and (d <= 1 or (d == 2 and r["weak"] and min(len(r["name1"]), len(r["name2"])) >= 8))
-        return [{"sim": m, "dist": d}] if ok else []
-
-    ok = _map_rows(pair.select(*keep).distinct(), keep, "sim double, dist int", ["sim", "dist"], f)
-    order = F.struct("far", (-F.col("dist")).alias("d"), "groups2", "sim", "name2")
-    best = ok.groupBy("grp", F.col("kind1").alias("kind"), F.col("name1").alias("name"), F.coalesce("g1", F.lit("")).alias("g_")).agg(F.max_by(F.struct("name2", "kind2"), order).alias("c"))
-    out = tokens.withColumn("g_", F.coalesce("g", F.lit(""))).join(best, ["grp", "kind", "name", "g_"], "left")
-    return out.select("grp", "kind", "name", "g_", F.coalesce("c.name2", "name").alias("centre"), F.coalesce("c.kind2", "kind").alias("ckind"))
+    counted = materialise(tokens.groupBy("kind", "name").agg(F.countDistinct("grp").alias("n")))
+    # a lone word that is somebody's surname needs no likeness
+    same = _as(counted.where("kind = 'u'"), 1, ["name"], ("kind", "n")).join(_as(counted.where("kind = 'p'"), 2, ["name"], ("kind", "n")).hint("merge"), "name")
+    same = same.select("kind1", F.col("name").alias("name1"), "n1", "kind2", F.col("name").alias("name2"), "n2", F.lit(1.0).alias("sim"))
+    edges = materialise(near_names(counted, bands).unionByName(same))
+    # what stands without a full given name goes where the same name with one goes, if the group has that
+    whole = _as(tokens.where("length(g) > 1"), 2, ["grp", "kind", "name"], ("g",))
+    bare = tokens.where("length(g) <= 1").withColumnRenamed("g", "g1").join(whole.hint("merge"), ["grp", "kind", "name"]).where("startswith(g2, g1)")
+    bare = materialise(bare)
+    cand = _as(tokens, 1, ["grp"], ("kind", "name", "g")).join(edges.hint("merge"), ["kind1", "name1"])
+    cand = materialise(cand.join(bare.select("grp", F.col("kind").alias("kind1"), F.col("name").alias("name1"), "g1").distinct(), ["grp", "kind1", "name1", "g1"], "left_anti"))
+    there = cand.join(_as(tokens, 2, ["grp"], ("kind", "name", "g")).hint("merge"), ["grp", "kind2", "name2"]).where(_AGREE)
+    here = materialise(_centre(there, F.struct((F.col("g1") == F.col("g2")).alias("s"), "n2", "sim", "name2")))
+    # two names of a group that hang on one centre, which the group lacks
+    free = cand.where("name1 <> name2").join(here.select("grp", *(F.col(c).alias(f"{c}1") for c in _KEY[1:])), ["grp", "kind1", "name1", "g1"], "left_anti")
+    two = free.groupBy("grp", "kind2", "name2", "g1").agg(F.countDistinct("name1").alias("k")).where("k > 1").drop("k")
+    away = _centre(free.join(two, ["grp", "kind2", "name2", "g1"]), F.struct("n2", "sim", "name2"))
+    moved = materialise(here.unionByName(away))
+    moved = _ended(moved.unionByName(_rare(tokens, counted, moved, bands)))
+    to = bare.join(moved.withColumnRenamed("g", "g2"), ["grp", "kind", "name", "g2"], "left").groupBy("grp", "kind", "name", F.col("g1").alias("g"))
+    to = to.agg(F.collect_set(F.struct(F.coalesce("centre", "name").alias("name2"), F.coalesce("ckind", "kind").alias("kind2"))).alias("c")).where("size(c) = 1 AND c[0].name2 <> name")
+    return moved.unionByName(to.select(*_KEY, F.col("c")[0]["name2"].alias("centre"), F.col("c")[0]["kind2"].alias("ckind")))
+
+
+def _rare(tokens: DataFrame, counted: DataFrame, moved: DataFrame, bands: int) -> DataFrame:
+    """Rare names of a group that are still by themselves, taken for a name of the group one edit away with the same given name (firms: none)."""
+    few = tokens.join(counted.where(F.col("n") < FAR * RARE).hint("merge"), ["kind", "name"])
+    alone = few.where(F.col("n") < RARE).join(moved, _KEY, "left_anti")
+    few = few.join(alone.select("grp").distinct(), "grp", "left_semi")
+    b = banded(few.select(*_KEY, "n"), [*_KEY, "n"], bands)
+    cols = ("kind", "name", "n")
+    pair = _as(b, 1, ["grp", "g", "band", "bh"], cols).join(_as(b, 2, ["grp", "g", "band", "bh"], cols).hint("merge"), ["grp", "g", "band", "bh"])
+    pair = pair.where(f"n1 < {RARE} AND (n2 > n1 OR (n2 = n1 AND name2 < name1)) AND (length(g) > 1 OR kind1 <> 'p') AND (kind1 = kind2 OR (kind1 <> 'p' AND kind2 <> 'p')) AND {_CLOSE}")
+    pair = pair.select("grp", "kind1", "name1", "n1", F.col("g").alias("g1"), "kind2", "name2", "n2").distinct()
+    pair = pair.join(moved.select("grp", *(F.col(c).alias(f"{c}1") for c in _KEY[1:])), ["grp", "kind1", "name1", "g1"], "left_anti")
+    return _centre(verified(pair), F.struct("n2", "sim", "name2"))
+
+
+def _ended(moved: DataFrame) -> DataFrame:
+    """Every chain of centres followed to its end. A step goes to a better attested name (of equally attested ones, to a smaller one), or from a lone word to a person, so none runs in a circle."""
+    while True:
+        moved = materialise(moved)
+        step = moved.select("grp", F.col("kind").alias("ckind"), F.col("name").alias("centre"), F.col("g").alias("g2"), F.col("centre").alias("c2"), F.col("ckind").alias("k2"))
+        on = moved.withColumnRenamed("g", "g1").join(step.hint("merge"), ["grp", "ckind", "centre"]).where(_AGREE)
+        on = on.groupBy("grp", "kind", "name", F.col("g1").alias("g")).agg(F.max_by(F.struct("c2", "k2"), F.struct((F.col("g1") == F.col("g2")).alias("s"), "c2")).alias("c"))
+        on = materialise(on)
+        if on.isEmpty():
+            return moved
+        moved = moved.join(on.hint("merge"), _KEY, "left").select(*_KEY, F.coalesce("c.c2", "centre").alias("centre"), F.coalesce("c.k2", "ckind").alias("ckind"))
 
 
 def entities(spellings: DataFrame) -> DataFrame:
@@ -345,13 +419,9 @@ def entities(spellings: DataFrame) -> DataFrame:
 
     spellings: grp, spelling; nulls, empties and entries that name nobody are left out, repeated rows count once."""
     p = materialise(parsed(spellings))  # small next to the texts, and read many times: written out once, which also keeps the plans short
-    p = p.withColumn("g", _full_given("given")).withColumn("g_", F.coalesce("g", F.lit("")))
-    tokens = p.where("name IS NOT NULL").select("grp", "kind", "name", "g").distinct()
-    c = materialise(centres(tokens))
-    # a satellite may hang on another satellite: follow one more step, so that chains of two typos end at the centre
-    step = c.select("grp", F.col("kind").alias("ckind"), F.col("name").alias("centre"), "g_", F.col("centre").alias("c2"), F.col("ckind").alias("k2"))
-    c = c.join(step, ["grp", "ckind", "centre", "g_"], "left").select("grp", "kind", "name", "g_", F.coalesce("c2", "centre").alias("sur"), F.coalesce("k2", "ckind").alias("skind"))
-    p = p.join(c, ["grp", "kind", "name", "g_"], "left")
+    p = p.withColumn("g", _full_given("given")).withColumn("_g", F.coalesce("g", "gi", F.lit("")))
+    c = centres(p.where("name IS NOT NULL").select("grp", "kind", "name", F.col("_g").alias("g")).distinct())
+    p = p.join(c.withColumnRenamed("g", "_g"), ["grp", "kind", "name", "_g"], "left").withColumns({"sur": F.coalesce("centre", "name"), "skind": F.coalesce("ckind", "kind")})
     kind = F.when(F.col("kind") == "u", F.when(F.col("skind") == "p", "p").otherwise("o")).otherwise(F.col("kind"))
     p = materialise(p.withColumn("kind", kind))
     orgs = p.where("kind = 'o'").select("grp", "spelling", F.concat(F.lit("o|"), F.coalesce("sur", "name")).alias("entity"))

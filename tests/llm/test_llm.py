@@ -323,17 +323,37 @@ def test_linked_names(spark):
     assert linking.entities(df.where("false").select("grp", "spelling")).count() == 0
 
 
-def test_banding_reaches_its_recall():
-    r = random.Random(11)
-    bands, found, total = linking.tune(), 0, 0
-    for _ in range(300):
-        s = "".join(r.choice("abvgdeziklmnoprstu") for _ in range(r.randrange(8, 12)))
-        i = r.randrange(1, len(s) - 1)
-        t = s[:i] + s[i + 1] + s[i] + s[i + 2 :]
-        a, b = (linking.signature(x, bands * linking.ROWS).reshape(bands, linking.ROWS) for x in (s, t))
-        found += bool((a == b).all(1).any())
-        total += 1
-    assert found / total >= 0.95
+def _typo(r, s, kind):
+    abc, i = "abvgdeziklmnoprstu", r.randrange(1, len(s) - 1)
+    return {"swap": s[:i] + s[i + 1] + s[i] + s[i + 2 :], "drop": s[:i] + s[i + 1 :], "double": s[:i] + s[i] + s[i:], "wrong": s[:i] + r.choice([c for c in abc if c != s[i]]) + s[i + 1 :]}[kind]
+
+
+@pytest.mark.parametrize("kind", ["swap", "drop", "double", "wrong"])
+def test_typos_of_every_kind_find_their_centre(spark, kind):
+    r, rows, want = random.Random(11), [], set()
+    for i in range(300):
+        s = "".join(r.choice("abvgdeziklmnoprstu") for _ in range(r.randrange(5, 13)))
+        t = _typo(r, s, kind)
+        if s == t:
+            continue
+        rows += [("p", s, 40), ("p", t, 3)]
+        want.add((t, s))
+    df = spark.createDataFrame(rows, "kind string, name string, n long").dropDuplicates(["name"])
+    got = {(x.name1, x.name2) for x in linking.near_names(df, linking.tune()).collect()}
+    assert len(want & got) >= 0.99 * len(want)
+
+
+def test_chains_end_and_an_absent_centre_joins(spark):
+    """A misspelt misspelling goes to the end of its chain; two misspellings of a name that the group lacks belong together; two well attested names don't."""
+    rows = [(f"a{i}", "Пурмаченко Анна") for i in range(40)] + [(f"b{i}", "Анна Пурмченко") for i in range(6)] + [(f"d{i}", "Анна Пурмавенко") for i in range(20)]
+    rows += [("x", s) for s in ("Анна Пурмаченко", "Анна Пурмченко", "Анна Пурмченк")]
+    rows += [("y", s) for s in ("Анна Пурмачнеко", "Анна Ппурмаченко")]
+    rows += [("w", s) for s in ("Анна Пурмаченко", "Анна Пурмавенко", "Пурмавенко А. С.")]
+    got = linking.pairs(linking.entities(spark.createDataFrame(rows, "grp string, spelling string"))).collect()
+    assert {(r.grp, r.name_a, r.name_b) for r in got if r.grp in "xyw"} == {
+        ("x", "Анна Пурмаченко", "Анна Пурмченко"), ("x", "Анна Пурмаченко", "Анна Пурмченк"), ("x", "Анна Пурмченк", "Анна Пурмченко"),
+        ("y", "Анна Ппурмаченко", "Анна Пурмачнеко"), ("w", "Анна Пурмавенко", "Пурмавенко А. С."),
+    }
 
 
 def test_swaps_in_short_names_are_candidates(spark):
@@ -344,7 +364,7 @@ def test_swaps_in_short_names_are_candidates(spark):
         t = s[:k] + s[k + 1] + s[k] + s[k + 2 :]
         assert linking.osa(s, t) == 1 and linking.monge_elkan(s, t) >= linking.MONGE_ELKAN
         rows += [(i, s), (i, t)]
-    b = linking._bands(spark.createDataFrame(rows, "i int, name string"), ["i", "name"], linking.tune())
+    b = linking.banded(spark.createDataFrame(rows, "i int, name string"), ["i", "name"], linking.tune())
     assert b.groupBy("i", "band", "bh").agg(F.countDistinct("name").alias("n")).where("n = 2").select("i").distinct().count() == 300
 
 
