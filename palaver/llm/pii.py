@@ -2,11 +2,13 @@
 
 Kinds: email, phone, id_number (passport, SNILS, a person's INN), address (a street with a house number), person (at least two parts of one
 person's name side by side). Items count however written or dictated: number words are read as digits, spoken marks as signs, hesitation sounds
-and invisible characters inside an item are passed over. A cheap automaton looks for triggers over the whole text; the patterns run only around those.
+and invisible characters inside an item are passed over. A cheap automaton looks for triggers over the whole text; the patterns run only around those, in
+windows that grow as long as the text goes on with what an item may hold, so that no item is cut.
 
 Redaction keeps the rest of the text to the letter. Numbers become pseudonyms of their own format: their digits go through a keyed Feistel
-permutation (with check digits worked out anew where the kind has them), so equal numbers, however written, stay linked across documents and the key's holder
-can turn them back. Other kinds get a keyed tag, equal for equal values.
+permutation (with check digits worked out anew where the kind has them) and stand in the layout that the number had, so equal numbers, however written, stay linked across
+documents and the key's holder can turn them back. Other kinds get a keyed tag, equal for equal values; a person's case, order and script don't count. Dates of birth and issue are
+permuted too where the caller asks for it.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import re
 from bisect import bisect
 from collections.abc import Iterator
 from datetime import date, timedelta
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +44,8 @@ _HYPHENS = {c: "-" for c in map(ord, "‐‑‒–—−")}
 _SPACES = {c: " " for c in map(ord, "       \t")}
 _FLAT = [(chr(c), x) for c, x in (_HYPHENS | _SPACES).items()] + [("ё", "е"), ("Ё", "Е")]
 _HIDDEN = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad"
-_SKIP = re.compile(rf"[{_HIDDEN}]|,?\s*\bэ+-?э+(?:-э+)*м*\b,?")
+_GAP = re.compile(r"\s{9}")
+_SKIP = re.compile(rf"[{_HIDDEN}]|(?<=\s{{8}})\s+|,?\s*\bэ+-?э+(?:-э+)*м*\b,?")
 
 _STREET = r"(?:улиц[аеуы]|ул\.?|переул(?:ок|ка|ке|ку)|пер\.?|проезд[аеу]?|пр-д|проспект[аеу]?|просп\.?|пр-т|шоссе|набережн(?:ая|ой|ую)|наб\.?|бульвар[аеу]?|б-р|площад[ьи]|пл\.|тупик[аеу]?|алле[яеию])"
 _HOUSE = rf"(?:,?\s*(?:д\.?|дом[ау]?|№)\s*(?:\d|(?:{_NUM})\b)|,?\s*\d)"
@@ -55,6 +59,8 @@ _W = r"[a-zа-я0-9_]+"
 _SIGN = r"(?:точка|дефис|тире|минус|плюс|(?:нижнее\s+)?подчеркивание)"
 _SPOKEN_MAIL = re.compile(rf"(?:[a-z0-9_]+|[a-zа-я0-9_]+(?=\s+(?:{_SIGN}|собака)\s))(?:\s+{_SIGN}\s+{_W})*\s+(?:собака|эт)\s+{_W}(?:\s+{_SIGN}\s+{_W})*?\s+точка\s+{_W}(?:\s+точка\s+{_W})*", re.I)
 _PHONE = re.compile(r"(?<![\d+])(?<!\d[.-])(?:(?:\+\s?7|[78])[\s.-]{0,2}\(?[3489]\d\d\)?[\s.-]{0,2}\d{3}[\s.-]{0,2}\d\d[\s.-]{0,2}\d\d|\(?9\d\d\)?[\s.-]{1,2}\d{3}[\s.-]{0,2}\d\d[\s.-]{0,2}\d\d|9\d{9})(?![\d]|[-.]\d)(?:,?\s?доб\.?\s?\d+)?")
+_FOREIGN = re.compile(r"(?<![\d+])\+(?!\s?7)[1-9]\d{0,2}(?:[\s.-]{0,2}\(?\d{1,4}\)?(?:[\s.-]{1,2}\d{2,8}){1,4}|\d{7,12})(?![\d]|[-.]\d)(?:,?\s?доб\.?\s?\d+)?")
+_THOUSANDS = re.compile(r"\+\d{1,3}(?:[\s.]\d{3})+$")
 _PASS = [
     re.compile(r"\bпаспорт[а-я]{0,3}(?:\s+рф|\s+гражданина\s+рф)?[\s:,]*(?:серия\s*)?\d\d\s?\d\d[\s,]*(?:№|номер|n)?\s*\d{6}(?!\d)", re.I),
     re.compile(r"\bсери[яию]\s*:?\s*\d\d\s?\d\d[\s,]*(?:№|номер|n)?\s*\d{6}(?!\d)", re.I),
@@ -133,11 +139,40 @@ def _lower(t: str) -> str:
     return low if len(low) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
 
 
-def _windows(at: list[int] | list[tuple[int, int]], n: int, near: int = NEAR) -> list[tuple[int, int]]:
-    """What lies near places or spans, a span as a whole; windows that meet are one."""
-    out: list[list[int]] = []
+_SIGNS = frozenset("точка дефис тире минус плюс нижнее подчеркивание собака эт".split())
+_HOUSE_WORDS = "д дом дома дому к корп корпус стр строение кв квартира оф офис подъезд номер серия"
+_AFTER = re.compile(rf"\S*(?:[\s,]+(?:(?:{'|'.join(_SIGNS)})\s+\S+|(?:{_NUM}|{_HOUSE_WORDS.replace(' ', '|')})(?!\w)\S*|№\S*|\S*\d\S*))*")
+
+
+def _before(low: str, lo: int) -> int:
+    """The start of the words around ``lo`` that belong to one dictated item: number words, digits, signs and what stands before a sign."""
+    end = lo
+    while lo > 0 and not low[lo - 1].isspace():
+        lo -= 1
+    while end < len(low) and not low[end].isspace():
+        end += 1
+    first = low[lo:end].strip(",.:;()")
+    while True:
+        b = lo
+        while b > 0 and (low[b - 1].isspace() or low[b - 1] == ","):
+            b -= 1
+        a = b
+        while a > 0 and not low[a - 1].isspace():
+            a -= 1
+        w = low[a:b].strip(",.:;()")
+        if a == b or not (first in _SIGNS or w in _SIGNS or w in _NUMBER or any(map(str.isdigit, w))):
+            return lo
+        lo, first = a, w
+
+
+def _windows(at: list[int] | list[tuple[int, int]], low: str, near: int = NEAR) -> list[tuple[int, int]]:
+    """What lies near places or spans, a span as a whole, to the ends of the items that reach beyond; windows that meet are one."""
+    n, out = len(low), []
     for a, b in sorted(p if isinstance(p, tuple) else (p, p) for p in at):
+        if out and b + near <= out[-1][1]:
+            continue
         lo, hi = max(0, a - near), min(n, b + near)
+        lo, hi = _before(low, lo) if lo else 0, _AFTER.match(low, hi).end() if hi < n else n
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
@@ -152,7 +187,7 @@ def _clean(text: str) -> tuple[str, list[int] | None]:
         if c in flat:
             flat = flat.replace(c, x)
     low = _lower(flat)
-    if not ("ээ" in low or "э-э" in low or any(c in flat for c in _HIDDEN)):
+    if not ("ээ" in low or "э-э" in low or any(c in flat for c in _HIDDEN) or _GAP.search(flat)):
         return flat, None
     keep, at, last = [], [], 0
     for m in _SKIP.finditer(low):
@@ -219,6 +254,29 @@ def _persons(text: str, low: str, lo: int, hi: int) -> Iterator[tuple[int, int]]
         i += 1
 
 
+_PATR_END = re.compile(r"(ович|евич|ьич|иныч|овн|евн|ичн)(?:а|у|ем|ом|е|ы|ой)?$")
+_SUR_END = re.compile(r"(?:((?:ов|ев|ин|ын))(?:а|у|ым|ом|е|ой|ы|ою)?|(ск|цк)(?:ий|ая|ого|ой|ому|ую|им|ом))$")
+
+
+@lru_cache(maxsize=100_000)
+def person_key(said: str) -> str:
+    """A person's name without case, order, gender endings and script: given name (in full where its short form has one), patronymic, then the other parts."""
+    given, patr, rest = [], [], []
+    for raw in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", said.lower()):
+        w = names.plain(names.unmix(raw))
+        base = names.forms().get(w) or names.latin_forms().get(w)
+        if base is not None:
+            fulls = names.full_names().get(base, {base})
+            given.append(names.to_latin(next(iter(fulls)) if len(fulls) == 1 else base))
+        elif names.is_patronymic(w):
+            patr.append(names.to_latin(_PATR_END.sub(r"\1", w)))
+        elif w.isascii():
+            rest.append(re.sub(r"(?<=ov|ev|in|yn)a$", "", w) if len(w) > 4 else w)
+        else:
+            rest.append(names.to_latin(_SUR_END.sub(lambda m: m.group(1) or m.group(2), w)))
+    return " ".join([*sorted(given), *sorted(patr), *sorted(rest)])
+
+
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value) of the items of a text, in order and without overlaps; value is the item in a plain form (digits for numbers)."""
     global _AUTO
@@ -252,7 +310,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             taken.insert(i, (a, b))
             found.append((a, b, kind, value))
 
-    for lo, hi in _windows(hits.get("email", []), n):
+    for lo, hi in _windows(hits.get("email", []), low):
         for rx in (_MAIL, _SPOKEN_MAIL):
             for m in rx.finditer(low, lo, hi):
                 v = re.sub(r"\s+", " ", _AT.sub("@", m.group()))
@@ -261,7 +319,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
                 put(m.start(), m.end(), "email", v.replace(" ", ""))
     nums = [m.span() for m in _DIGITS.finditer(low)]
     spots = [*((p, p + NEAR) for p in hits.get("words", [])), *nums]
-    for lo, hi in _windows(spots, n):
+    for lo, hi in _windows(spots, low):
         for rx in (*_PASS, *_SNILS, _INN):
             for m in rx.finditer(low, lo, hi):
                 put(m.start(), m.end(), "id_number", re.sub(r"\D", "", m.group()))
@@ -269,35 +327,40 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             d = digits_of(m.group())
             if len(d) >= 8:
                 put(m.start(), m.end(), "id_number", d)
-    for lo, hi in _windows(nums, n, 40):
+    for lo, hi in _windows(nums, low, 40):
         for m in _PHONE.finditer(low, lo, hi):
             d = re.sub(r"\D", "", m.group().split("доб")[0])
             put(m.start(), m.end(), "phone", d[-10:])
+        for m in _FOREIGN.finditer(low, lo, hi):
+            said = m.group().split("доб")[0].rstrip(" ,")
+            d = re.sub(r"\D", "", said)
+            if 9 <= len(d) <= 15 and not _THOUSANDS.match(said):
+                put(m.start(), m.end(), "phone", d if len(d) > 10 else f"+{d}")
     for m in _spoken_runs(low, hits.get("spoken", [])):
         for a, b, d in _spoken_phones(m):
             put(a, b, "phone", d[-10:])
-    for lo, hi in _windows(hits.get("address", []), n):
+    for lo, hi in _windows(hits.get("address", []), low):
         for rx in _ADDR:
             for m in rx.finditer(low, lo, hi):
                 put(m.start(), m.end(), "address", re.sub(r"[\s.,]+", " ", m.group()).strip())
     if not low.isascii() and _LATIN.search(low):  # letters of both scripts in a word: no form of a name is seen in it as it stands
         hits.setdefault("person", []).extend(m.start() for m in _MIXED.finditer(low))
-    for lo, hi in _windows(hits.get("person", []), n):
+    for lo, hi in _windows(hits.get("person", []), low):
         while lo > 0 and low[lo - 1].isalpha():
             lo -= 1
         while hi < n and low[hi].isalpha():
             hi += 1
         for a, b in _persons(t, low, lo, hi):
-            put(a, b, "person", re.sub(r"\s+", " ", low[a:b]))
+            put(a, b, "person", person_key(low[a:b]))
     dots = [m.start() for m in _DOT.finditer(low)]
-    for lo, hi in _windows(dots, n, 40):
+    for lo, hi in _windows(dots, low, 40):
         while lo > 0 and low[lo - 1].isalpha():
             lo -= 1
         for rx in (_INITIALS_AFTER, _INITIALS_BEFORE):
             for m in rx.finditer(t, lo, hi):
                 w = m.group(1)
                 if names.is_surname(names.plain(names.unmix(w))) and (w[0].isupper() or t[m.start() : m.end()].islower()):
-                    put(m.start(), m.end(), "person", re.sub(r"\s+", " ", low[m.start() : m.end()]))
+                    put(m.start(), m.end(), "person", person_key(low[m.start() : m.end()]))
     found.sort()
     if back is not None:
         found = [(back[a], back[b - 1] + 1, k, v) for a, b, k, v in found]
@@ -415,8 +478,9 @@ def inn_check(body: str) -> str:
 
 def pseudonym(kind: str, value: str, key: bytes) -> str:
     """What stands for a value: permuted digits for numbers (valid check digits stay valid), a keyed tag for the rest."""
-    if kind == "phone" and value.isdigit():
-        return value[0] + feistel(value[1:], key, "phone")
+    if kind == "phone" and value.lstrip("+").isdigit():
+        plus, v = value[: value.startswith("+")], value.lstrip("+")
+        return plus + v[0] + feistel(v[1:], key, "phone")
     if kind == "id_number" and value.isdigit():
         if len(value) == 11:
             body = feistel(value[:9], key, "snils")
@@ -428,18 +492,59 @@ def pseudonym(kind: str, value: str, key: bytes) -> str:
     return hmac.new(key, f"{kind}|{value}".encode(), hashlib.sha256).hexdigest()[:TAG]
 
 
-def redact(text: str | None, key: bytes) -> str | None:
-    """The text with each item replaced by `[KIND pseudonym]`; null stays null, a text without items stays as it is."""
+_NUMBER_STARTS = re.compile(rf"[+(]*\d|\b(?:плюс\s+)?(?:{_NUM})\b", re.I)
+_DATED = re.compile(r"\b(?:род(?:ил(?:ся|ась)|\.|ивш)|рожд|выдан|выдач|г\.\s?р\.)", re.I)
+_DATE = re.compile(r"(?<![\d.])(\d\d)([./-])(\d\d)\2((?:19|20)\d\d)(?![\d]|[./-]\d)")
+
+
+def _dates(text: str, key: bytes) -> list[tuple[int, int, str]]:
+    """(start, end, new) of the dates that follow a word of birth or issue, or stand before one, within NEAR characters; days that don't exist are none."""
+    if not _DATED.search(text):
+        return []
+    at = [m.start() for m in _DATED.finditer(text)]
+    out = []
+    for m in _DATE.finditer(text):
+        i = bisect(at, m.start())
+        if (i and m.start() - at[i - 1] <= NEAR) or (i < len(at) and at[i] - m.end() <= 10):
+            try:
+                d = feistel_date(date(int(m.group(4)), int(m.group(3)), int(m.group(1))), key)
+            except ValueError:
+                continue
+            out.append((m.start(), m.end(), f"{d.day:02d}{m.group(2)}{d.month:02d}{m.group(2)}{d.year}"))
+    return out
+
+
+def _shown(item: str, kind: str, code: str, key: bytes) -> tuple[str, str]:
+    """What stays before a number (the words that announce it), and its pseudonym in the layout that the number had; an extension is permuted by itself."""
+    start = m.start() if kind != "phone" and (m := _NUMBER_STARTS.search(item)) else 0
+    head, body = item[:start], item[start:]
+    cut = body.lower().find("доб")
+    body, ext = (body, "") if cut < 0 else (body[:cut], body[cut:])
+    ext = re.sub(r"\d+", lambda m: feistel(m.group(), key, "ext"), ext)
+    plain, new = [c for c in body if c.isdecimal()], code.lstrip("+")
+    if not plain or len(plain) < len(new):
+        return head, f"{code} {ext}".strip() if ext else code
+    put = iter(plain[: len(plain) - len(new)] + list(new))  # a country code before the number stays
+    return head, "".join(next(put) if c.isdecimal() else c for c in body) + ext
+
+
+def redact(text: str | None, key: bytes, dates: bool = False) -> str | None:
+    """The text with each item replaced by `[KIND pseudonym]`; null stays null, a text without items stays as it is. With ``dates`` days of birth and issue are permuted within their format."""
     if not text:
         return text
+    spots = [(a, b, kind, value) for a, b, kind, value in find(text)]
+    if dates:
+        spots += [(a, b, "", new) for a, b, new in _dates(text, key) if all(b <= x or y <= a for x, y, *_ in spots)]
     out, last = [], 0
-    for a, b, kind, value in find(text):
-        shown, code = text[a:b], pseudonym(kind, value, key)
-        plain = [c for c in shown if c.isdigit()]
-        if code.isdigit() and len(code) <= len(plain) and kind == "phone" and shown.lower().find("доб") < 0 and len(plain) in (10, 11):
-            new = iter(plain[: len(plain) - 10] + list(code))  # the country code stays, and so does the way it is written
-            code = "".join(next(new) if c.isdigit() else c for c in shown)
-        out += [text[last:a], f"[{kind.upper()} {code}]"]
+    for a, b, kind, value in sorted(spots):
+        out.append(text[last:a])
+        if not kind:
+            out.append(value)
+        elif kind in ("phone", "id_number"):
+            head, code = _shown(text[a:b], kind, pseudonym(kind, value, key), key)
+            out.append(f"{head}[{kind.upper()} {code}]")
+        else:
+            out.append(f"[{kind.upper()} {pseudonym(kind, value, key)}]")
         last = b
     return "".join([*out, text[last:]])
 
@@ -458,13 +563,15 @@ def items(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, F.col(text).alias("_text")).mapInArrow(run, f"{ddl}, kind string")
 
 
-def redacted(df: DataFrame, keys: list[str], text: str, key: bytes, name: str = "redacted") -> DataFrame:
-    """keys and the redacted text of every row."""
+def redacted(df: DataFrame, keys: list[str], text: str, key: bytes, name: str = "redacted", dates: bool = False) -> DataFrame:
+    """keys and the redacted text of every row. The key is a secret of at least 16 bytes."""
+    if len(key) < 16:
+        raise ValueError("a key of at least 16 bytes is needed")
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            out = pa.array([redact(t, key) for t in batch.column(len(keys)).to_pylist()], pa.string())
+            out = pa.array([redact(t, key, dates) for t in batch.column(len(keys)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keys))), out], names=[*keys, name])
 
     return df.select(*keys, F.col(text).alias("_text")).mapInArrow(run, f"{ddl}, `{name}` string")

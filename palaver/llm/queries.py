@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from palaver.llm import turns as speech
 from palaver.session import materialise, table
 
 PERMILLE = [10, 250, 500, 750, 900, 950, 990]
-#: The key of the pseudonyms; a deployment sets its own.
-PSEUDONYM_KEY = os.environ.get("PALAVER_PSEUDONYM_KEY", "not a secret").encode()
+#: The key of the pseudonyms. Without one of the deployment's own, a random key of this process: nobody can turn its pseudonyms back or link them to another run's.
+PSEUDONYM_KEY = os.environ.get("PALAVER_PSEUDONYM_KEY", "").encode() or secrets.token_bytes(32)
 METRICS = ["latencyMs", "costRub", "werAfter"]
 
 

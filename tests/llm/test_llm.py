@@ -3,6 +3,7 @@
 import base64
 import math
 import random
+import re
 from datetime import date
 
 import numpy as np
@@ -189,6 +190,60 @@ def test_forms_that_look_like_triggers():
     assert len({pii.find(f"ivan{a}mail.test")[0][3] for a in ("@", "(at)", " [dog] ", "( эт )")} | {pii.find("ivan эт mail точка test")[0][3]}) == 1
 
 
+KEY = b"0123456789abcdef"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "инн семьсот семьдесят семь четыреста пятьдесят шесть семьсот восемьдесят девять сто двадцать три",
+        "его инн: " + ", ".join("семь семь семь четыре пять шесть семь восемь девять один два три".split()) + ", и дальше текст",
+        "пишите ivan точка " + "petrov точка " * 40 + "x собака mail точка ru, и дальше",
+        "почта " + "ящик_" * 60 + "@example.ru, и дальше",
+        "паспорт:" + " " * 300 + "4512 123456",
+        "живёт на ул. " + "а" * 150 + " д. 5, " + "стр. 1, " * 20 + "кв. 7",
+        "снилс " + "э-э " * 60 + "112-233-445 95",
+    ],
+)
+def test_long_items_are_whole(text):
+    (a, b, kind, value), = pii.find(text)
+    shown = pii.redact(text, KEY)
+    assert len(shown) < 120 + (300 if " " * 300 in text else 0) and not re.search("три$|petrov|ящик_|123456|ааа|кв|95", shown.replace(value, ""))
+
+
+@pytest.mark.parametrize("text", ["+49 30 1234567", "+1 (212) 555-01-23", "+380 44 123 45 67", "+998901234567", "восемь четыреста девяносто пять сто двадцать три сорок пять шестьдесят семь", "плюс семь восемьсот двенадцать сто двадцать три сорок пять шестьдесят семь"])
+def test_landline_and_foreign_phones(text):
+    assert [k for *_, k, _ in pii.find(f"звоните {text}, жду")] == ["phone"] and not pii.find("итого +15 000 000 000 рублей")
+
+
+def test_numbers_keep_their_layout():
+    for text, rx in [("СНИЛС 112-233-445 95", r"СНИЛС \[ID_NUMBER \d{3}-\d{3}-\d{3} \d\d\]"), ("тел. +7 (916) 123-45-67 доб. 12", r"тел. \[PHONE \+7 \(9\d\d\) \d{3}-\d\d-\d\d доб. \d\d\]"), ("паспорт 45 12 № 123456", r"паспорт \[ID_NUMBER \d\d \d\d № \d{6}\]")]:
+        assert re.fullmatch(rx, pii.redact(text, KEY))
+    a, b = (re.sub(r"\D", "", pii.redact(t, KEY))[-9:] for t in ("89161234567", "+7 (916) 123-45-67"))
+    assert a == b
+    m = re.search(r"\d{3}-\d{3}-\d{3} \d\d", pii.redact("СНИЛС 112-233-445 95", KEY)).group()
+    body = re.sub(r"\D", "", m)
+    assert body[9:] == pii.snils_check(body[:9]) and pii.feistel(body[:9], KEY, "snils", back=True) == "112233445"
+
+
+def test_cases_of_a_person_link():
+    same = ["Иван Петров", "Ивана Петрова", "Петрову Ивану", "Ваня Петров", "Ivan Petrov"]
+    assert len({pii.person_key(x) for x in same}) == 1 and pii.person_key("Иван Павлов") != pii.person_key(same[0])
+    assert pii.person_key("Анна Сергеевна Смирнова") == pii.person_key("Смирновой Анне Сергеевне")
+
+
+def test_dates_of_birth_are_permuted_where_asked_for():
+    t = "паспорт 4512 123456 выдан 12.03.2015, встреча 01.02.2024, 99.99.2015 г.р."
+    new = pii.redact(t, KEY, dates=True)
+    d = re.search(r"выдан (\d\d)\.(\d\d)\.(\d{4}), встреча 01.02.2024, 99.99.2015 г.р.$", new)
+    assert pii.feistel_date(date(*map(int, d.groups()[::-1])), KEY, back=True) == date(2015, 3, 12) and "12.03.2015" in pii.redact(t, KEY)
+
+
+def test_a_short_key_is_an_error(spark):
+    with pytest.raises(ValueError, match="16 bytes"):
+        pii.redacted(spark.createDataFrame([("a",)], "text string"), [], "text", b"k")
+
+
 def test_tags_of_different_values_differ():
     tag = lambda v: pii.pseudonym("email", v, b"k")
     assert len({tag(f"a{i}@mail.test") for i in range(300_000)}) == 300_000
@@ -213,7 +268,7 @@ def test_feistel_is_a_permutation():
 def test_items_over_rows(spark):
     df = spark.createDataFrame([("a", 1, "Мария Пурмачина, +7 972 588-06-93"), ("b", 2, None), (None, None, "a@b.test")], "m string, pos int, text string").withColumn("kind", F.lit("clash"))
     assert {tuple(r) for r in pii.items(df, ["m", "pos"], "text").collect()} == {("a", 1, "person"), ("a", 1, "phone"), (None, None, "email")}
-    assert pii.redacted(df, ["m", "pos"], "text", b"k").where("m = 'b'").first().redacted is None
+    assert pii.redacted(df, ["m", "pos"], "text", KEY).where("m = 'b'").first().redacted is None
     assert pii.items(df.where("false"), ["m"], "text").count() == 0
 
 
