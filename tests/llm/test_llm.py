@@ -208,7 +208,7 @@ KEY = b"0123456789abcdef"
 def test_long_items_are_whole(text):
     (a, b, kind, value), = pii.find(text)
     shown = pii.redact(text, KEY)
-    assert len(shown) < 120 + (300 if " " * 300 in text else 0) and not re.search("три$|petrov|ящик_|123456|ааа|кв|95", shown.replace(value, ""))
+    assert len(re.sub("(э-э )+|\\s{9,}", "", shown)) < 120 and not re.search("три$|petrov|ящик_|123456|ааа|кв|95", shown.replace(value, ""))
 
 
 @pytest.mark.parametrize("text", ["+49 30 1234567", "+1 (212) 555-01-23", "+380 44 123 45 67", "+998901234567", "восемь четыреста девяносто пять сто двадцать три сорок пять шестьдесят семь", "плюс семь восемьсот двенадцать сто двадцать три сорок пять шестьдесят семь"])
