@@ -443,10 +443,14 @@ def entities(spellings: DataFrame) -> DataFrame:
         F.when(F.col("g").isNull(), F.concat_ws("|", F.lit("gis"), "i", F.substring("sur", 1, 1))),
     )
     look = everyone.select("grp", "person", "patr", F.explode(keys).alias("key")).where("key IS NOT NULL")
-    # per key and patronymic: how many persons it may mean (two are enough to know that it is not one)
-    count = look.groupBy("grp", "key").agg(F.count("*").alias("n"), F.min("person").alias("one"), F.count("patr").alias("with_patr"))
-    by_patr = look.where("patr IS NOT NULL").groupBy("grp", "key", "patr").agg(F.count("*").alias("n_patr"), F.min("person").alias("one_patr"))
-    unknown = look.where("patr IS NULL").groupBy("grp", "key").agg(F.min("person").alias("one_unknown"))
+    # per key, and per patronymic of it: how many persons it may mean, and one of them (two are enough to know that it is not one)
+    count = look.groupBy("grp", "key", "patr").agg(F.count("*").alias("m"), F.min("person").alias("person")).groupBy("grp", "key").agg(
+        F.sum("m").alias("n"),
+        F.min("person").alias("one"),
+        F.sum(F.when(F.col("patr").isNotNull(), F.col("m"))).alias("with_patr"),
+        F.min(F.when(F.col("patr").isNull(), F.col("person"))).alias("one_unknown"),
+        F.map_from_entries(F.collect_list(F.when(F.col("patr").isNotNull(), F.struct("patr", F.struct("m", "person"))))).alias("patrs"),
+    )
     short = people.where("sur IS NULL OR g IS NULL")
     key = (
         F.when(F.col("sur").isNotNull() & F.col("gi").isNotNull(), F.concat_ws("|", F.lit("si"), "sur", "gi"))
@@ -455,7 +459,7 @@ def entities(spellings: DataFrame) -> DataFrame:
         .when(F.col("g").isNotNull(), F.concat_ws("|", F.lit("g"), "g"))
     )
     short = short.withColumn("key", key).withColumn("ikey", F.when(F.col("sur").isNull() & F.col("g").isNotNull(), F.when(F.col("si").isNotNull(), F.concat_ws("|", F.lit("gis"), "initial", "si")).otherwise(F.concat_ws("|", F.lit("gi"), "initial"))))
-    short = short.join(count, ["grp", "key"], "left").join(by_patr, ["grp", "key", "patr"], "left").join(unknown, ["grp", "key"], "left")
+    short = short.join(count, ["grp", "key"], "left").withColumn("_p", F.try_element_at("patrs", "patr")).withColumns({"n_patr": F.col("_p.m"), "one_patr": F.col("_p.person")}).drop("patrs", "_p")
     icount = count.select("grp", F.col("key").alias("ikey"), F.col("n").alias("i_n"), F.col("one").alias("i_one"))
     short = short.join(icount, ["grp", "ikey"], "left")
     n0, i0, wp, np_ = (F.coalesce(c, F.lit(0)) for c in ("n", "i_n", "with_patr", "n_patr"))
