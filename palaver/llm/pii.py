@@ -498,14 +498,16 @@ _DATE = re.compile(r"(?<![\d.])(\d\d)([./-])(\d\d)\2((?:19|20)\d\d)(?![\d]|[./-]
 
 
 def _dates(text: str, key: bytes) -> list[tuple[int, int, str]]:
-    """(start, end, new) of the dates that follow a word of birth or issue, or stand before one, within NEAR characters; days that don't exist are none."""
+    """(start, end, new) of the first date after a word of birth or issue, within NEAR characters, and of the one right before such a word; days that don't exist are none."""
     if not _DATED.search(text):
         return []
-    at = [m.start() for m in _DATED.finditer(text)]
+    found = list(_DATE.finditer(text))
+    at = [m.start() for m in found]
+    near = {at[i] for m in _DATED.finditer(text) if (i := bisect(at, m.start())) < len(at) and at[i] - m.start() <= NEAR and text[m.start()] not in "гГ"}
+    near |= {at[i - 1] for m in _DATED.finditer(text) if (i := bisect(at, m.start())) and m.start() - found[i - 1].end() <= 3}
     out = []
-    for m in _DATE.finditer(text):
-        i = bisect(at, m.start())
-        if (i and m.start() - at[i - 1] <= NEAR) or (i < len(at) and at[i] - m.end() <= 10):
+    for m in found:
+        if m.start() in near:
             try:
                 d = feistel_date(date(int(m.group(4)), int(m.group(3)), int(m.group(1))), key)
             except ValueError:

@@ -76,8 +76,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns with speaker and clean text."""
-    phrases = table(spark, sf_dir, "phrases")
-    return speech.turns(speech.prepared(phrases), speech.texts(phrases))
+    return speech.turns(speech.prepared(table(spark, sf_dir, "phrases"), with_text=True))
 
 
 def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:

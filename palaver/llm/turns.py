@@ -1,11 +1,12 @@
 """Speech transcripts into clean speaker turns.
 
-1. Repeated rows of a phrase count once. A phrase's time is its start as stored, else the time written at the start of its text, else the
-   time of the phrase before it by pos (0 for the first); the carrying runs in blocks of pos, joined by a prefix over the blocks.
-2. A phrase's speaker is its id, else the id that its label stands for in the meeting (learnt from the rows that have both; labels are compared
-   without their many spellings), else the label itself where the meeting has no ids. Phrases that have neither get the speaker of the
-   best path through a hidden Markov model of the meeting: its states are the participants, its transitions are counted from known neighbours, and a phrase's emission is its
-   likelihood under the participant's language profile (smoothed counts of hashed words). It runs on blocks of pos, only where something is missing.
+1. Phrases are brought together in blocks of pos of a meeting, once. Repeated rows of a phrase count once. A phrase's time is its start as stored, else the time written at
+   the start of its text, else the time of the phrase before it by pos (0 for the first); what a block needs from the blocks before it comes from a table with a row per block.
+2. A phrase with an id has that speaker. All others go through a hidden Markov model of their meeting. Its states are the participants (the ids; labels that never stand beside an
+   id; the labels alone where the meeting has no ids), its transitions are counted from known neighbours, and a phrase's emission is its likelihood under the
+   participant's language profile (smoothed counts of hashed words) together with what its label stands for: the votes of the phrases that have both (labels are compared without their
+   many spellings), weighted so that a label that always stood for one speaker decides. Phrases with an id pin the best path, so each stretch between two of them is solved by itself,
+   exactly, wherever the borders of blocks are. A stretch of more than BLOCK places is solved in pieces that see LAG places beyond their ends.
 3. Recording residue is removed; a phrase of nothing but times, sound notes, hesitation sounds and noise markers is dropped.
 4. Phrases are range-partitioned by meeting, time and pos, so a meeting with a third of all rows is spread over many tasks; each task finds its runs of
    one speaker, and runs that touch across a border are joined by a window over the border runs only.
@@ -13,20 +14,23 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from palaver.session import materialise, shuffle_partitions
 
-BLOCK = 4096
-BUCKETS = 512
+BLOCK, LAG = 4096, 256
+BUCKETS = 128
+#: Weight of what a label stands for against the language and the transitions, and the votes that a label has for everyone beforehand.
+LABEL, DOUBT = 100.0, 1e-3
 #: The noise markers, and words of sound notes in round brackets.
 MARKERS = "угу ага эм эээ ну вот это так".split()
 NOTES = "смех смеется смеётся кашель аплодисменты музыка шум помехи пауза неразборчиво нрзб тишина звонок телефона стук вздох вздыхает плач шепот шёпот гудок сигнал".split()
@@ -107,50 +111,44 @@ def label_key(c: Column | str) -> Column:
     return F.when(num != "", F.concat(F.lit("n:"), F.regexp_replace(num, "^0+(?=.)", ""))).when(word != "", F.concat(F.lit("w:"), word))
 
 
-def deduped(phrases: DataFrame, cols: dict[str, Column]) -> DataFrame:
-    """One row per (meeting_id, pos): of rows with the same key the one that arrived first (ties: the smallest). cols are worked out before the
-    shuffle, so that texts that aren't asked for are never moved."""
-    p = phrases.where("meeting_id IS NOT NULL AND pos IS NOT NULL")
-    made = p.select("meeting_id", F.col("pos").cast("int").alias("pos"), F.coalesce(F.col("arrivedAt").cast("timestamp"), F.lit("9999-12-31").cast("timestamp")).alias("a"), *(c.alias(k) for k, c in cols.items()))
-    one = made.groupBy("meeting_id", "pos").agg(F.min(F.struct("a", *cols)).alias("r"))
-    return one.select("meeting_id", "pos", *(F.col(f"r.{c}").alias(c) for c in cols))
-
-
-def _timed(p: DataFrame) -> DataFrame:
-    """t: the time that orders a phrase."""
-    own = F.coalesce(F.col("startTimeMs").cast("long"), F.col("_written"))
-    p = p.withColumn("_own", own).withColumn("_block", F.floor(F.col("pos") / BLOCK))
-    last = p.groupBy("meeting_id", "_block").agg(F.max_by("_own", F.when(F.col("_own").isNotNull(), F.col("pos"))).alias("_last"))
-    before = last.select("meeting_id", "_block", F.last("_last", True).over(W.partitionBy("meeting_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
-    upto = W.partitionBy("meeting_id", "_block").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    p = p.withColumn("_carried", F.last("_own", True).over(upto)).join(before, ["meeting_id", "_block"], "left")
-    return p.withColumn("t", F.coalesce("_carried", "_before", F.lit(0))).drop("_own", "_block", "_carried", "_before", "_written")
-
-
-def _resolved(p: DataFrame) -> DataFrame:
-    """speaker: the id, or what the label stands for; null where the model has to say."""
-    k, tag = label_key("speakerLabel"), F.col("speakerTag")
-    inner = label_key(F.when(F.col("speakerLabel").rlike(r"\d"), F.nullif(F.regexp_extract("speakerLabel", r"\(([^)\d]+)\)", 1), F.lit(""))))
-    p = p.withColumn("_k", k)
-    some = p.groupBy("meeting_id").agg(F.max(F.col("speakerId").isNotNull()).alias("_ids"))
-    seen = p.where("speakerId IS NOT NULL OR _k LIKE 'n:%'").select("meeting_id", "speakerId", "_k", tag.alias("_tag"), inner.alias("_inner"), label_key("detectedName").alias("_det"))
-    seen = seen.groupBy("meeting_id", "speakerId", "_k", "_tag", "_inner", "_det").agg(F.count("*").alias("c"))
-    seen = seen.join(some, "meeting_id").withColumn("id", F.when(F.col("_ids"), F.col("speakerId")).otherwise(F.concat(F.lit("label "), F.col("_k")))).where("id IS NOT NULL")
-    keys = F.array(
-        F.struct(F.concat_ws("|", F.lit("lt"), "_k", "_tag").alias("key"), (F.col("c") * 1000).alias("c")),
-        F.struct(F.concat(F.lit("l|"), F.col("_k")).alias("key"), (F.col("c") * 1000).alias("c")),
-        F.struct(F.concat(F.lit("l|"), F.col("_inner")).alias("key"), F.col("c").alias("c")),
-        F.struct(F.concat(F.lit("l|"), F.col("_det")).alias("key"), F.col("c").alias("c")),
-        F.struct(F.when(F.col("_k").isNotNull(), F.concat(F.lit("t|"), F.col("_tag"))).alias("key"), F.col("c").alias("c")),
-    )
-    votes = seen.select("meeting_id", "id", F.explode(keys).alias("x")).where("x.key IS NOT NULL").groupBy("meeting_id", "x.key", "id").agg(F.sum("x.c").alias("c"))
-    best = votes.groupBy("meeting_id", "key").agg(F.max_by("id", F.struct("c", "id")).alias("id"))
-    maps = best.groupBy("meeting_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "id"))).alias("_map"))
-    book = some.join(maps, "meeting_id", "left")  # a row per meeting, as long as its list of labels
-    p = p.join(book, "meeting_id", "left")
-    at = lambda key: F.try_element_at("_map", key)
-    by_label = F.when(F.col("_k").isNotNull(), F.coalesce(at(F.concat_ws("|", F.lit("lt"), "_k", tag)), at(F.concat(F.lit("l|"), F.col("_k"))), at(F.concat(F.lit("t|"), tag)), F.concat(F.lit("label "), F.col("_k"))))
-    return p.withColumn("speaker", F.coalesce("speakerId", by_label)).drop("_k", "_map", "_ids")
+def _hashed(t: Column) -> Column:
+    """The words of a text as a string of one ASCII sign each (their bucket)."""
+    words = F.filter(F.split(F.translate(F.lower(F.coalesce(t, F.lit(""))), ".,!?;:…«»\"()\t\n", " "), " "), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.char(F.pmod(F.hash(w), F.lit(BUCKETS)))), "")
+
+
+def blocks(phrases: DataFrame, with_text: bool = False) -> DataFrame:
+    """The phrases of every meeting, each once (of rows with the same meeting_id and pos the one that arrived first; ties: by a hash of the row), with
+
+    t (the time that orders them), id, k, tag, inner, det (label keys), noise, w (hashed words), who (id or else label), prev (who of the phrase before that has one),
+    pin, pin_pos (the id before, and its place), open (no id, or the first with an id after that) and, if asked for, clean. Nulls in meeting_id or pos drop a row."""
+    label = F.col("speakerLabel")
+    inner = F.when(label.rlike(r"\d"), F.nullif(F.regexp_extract(label, r"\(([^)\d]+)\)", 1), F.lit("")))
+    cols = {
+        "own": F.coalesce(F.col("startTimeMs").cast("long"), F.when(F.col("startTimeMs").isNull(), written_time("text"))),
+        "id": F.col("speakerId"), "k": label_key(label), "tag": F.col("speakerTag"), "inner": label_key(inner), "det": label_key("detectedName"),
+        "noise": is_noise("text"), "w": _hashed(F.col("text")),
+    }
+    cols |= {"clean": clean_text("text")} if with_text else {}
+    arrived = F.coalesce(F.col("arrivedAt").cast("timestamp"), F.lit("9999-12-31").cast("timestamp"))
+    p = phrases.where("meeting_id IS NOT NULL AND pos IS NOT NULL").select("meeting_id", F.col("pos").cast("int").alias("pos"), F.floor(F.col("pos") / BLOCK).alias("block"), arrived.alias("_a"), *(c.alias(n) for n, c in cols.items()))
+    p = p.withColumn("_h", F.xxhash64(*cols))
+    within = W.partitionBy("meeting_id", "block")
+    p = p.withColumn("_p", F.lag("pos").over(within.orderBy("pos", "_a", "_h"))).where("_p IS NULL OR _p <> pos").drop("_a", "_h", "_p")
+    p = p.withColumn("who", F.coalesce("id", F.concat(F.lit("label "), F.col("k"))))
+    by = within.orderBy("pos")
+    pin = F.when(F.col("id").isNotNull(), F.struct("id", "pos"))
+    before = by.rowsBetween(W.unboundedPreceding, -1)
+    p = p.withColumns({"_t": F.last("own", True).over(by.rowsBetween(W.unboundedPreceding, 0)), "_pin": F.last(pin, True).over(before), "_prev": F.last("who", True).over(before), "open": F.col("id").isNull() | F.lag("id").over(by).isNull()})
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col("pos"))
+    last = p.groupBy("meeting_id", "block").agg(F.max_by("own", at("own")).alias("t0"), F.max(pin["pos"]).alias("_pp"), F.max_by("id", at("id")).alias("_pi"), F.max_by("who", at("who")).alias("prev0"))
+    upto = W.partitionBy("meeting_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    last = last.select("meeting_id", "block", *(F.last(c, True).over(upto).alias(c) for c in ("t0", "_pp", "_pi", "prev0")))
+    p = p.join(last, ["meeting_id", "block"], "left")
+    return p.select(
+        "meeting_id", "pos", F.coalesce("_t", "t0", F.lit(0)).alias("t"), "id", "k", "tag", "inner", "det", "noise", "w", "who", F.coalesce("_prev", "prev0").alias("prev"),
+        F.coalesce("_pin.id", "_pi").alias("pin"), F.coalesce("_pin.pos", "_pp").alias("pin_pos"), "open", *(["clean"] if with_text else []),
+    )
 
 
 def viterbi(emit: np.ndarray, start: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -168,107 +166,175 @@ def viterbi(emit: np.ndarray, start: np.ndarray, step: np.ndarray) -> np.ndarray
     return path
 
 
-def infer_missing(rows: DataFrame, phrases: DataFrame) -> DataFrame:
-    """meeting_id, pos, inferred: the speaker of the phrases that have none, by the meeting's hidden Markov model.
-
-    rows: meeting_id, pos, speaker. A meeting without any known speaker gets none (null). The profiles and transitions are sums over the
-    whole meeting, borders of blocks included; the path is found within blocks of BLOCK places, each with what stands before it from the last known
-    speaker on and after it up to the first one, so that a border cuts nothing (but where a whole block beside it has no known speaker: then that block is all that is seen)."""
-    missing = rows.where("speaker IS NULL").select("meeting_id", "pos")
-    meetings = missing.select("meeting_id").distinct()
-    ctx = rows.join(meetings, "meeting_id", "left_semi").join(phrases.select("meeting_id", "pos", F.lower("text").alias("text")), ["meeting_id", "pos"], "left")
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    ctx = ctx.select("meeting_id", "pos", "speaker", F.transform(words, lambda w: F.pmod(F.hash(w), F.lit(BUCKETS))).alias("w"), F.floor(F.col("pos") / BLOCK).alias("block"))
-    counts = ctx.where("speaker IS NOT NULL").select("meeting_id", "speaker", F.explode("w").alias("b")).groupBy("meeting_id", "speaker", "b").agg(F.count("*").alias("c"))
-    profile = counts.groupBy("meeting_id", "speaker").agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("m"), F.sum("c").alias("n"))
-    profiles = profile.groupBy("meeting_id").agg(F.collect_list(F.struct("speaker", "m", "n")).alias("profiles"))
-    nxt = W.partitionBy("meeting_id", "block").orderBy("pos")
-    known = F.when(F.col("speaker").isNotNull(), F.col("pos"))
-    edges = ctx.groupBy("meeting_id", "block").agg(F.min_by("speaker", "pos").alias("first"), F.max_by("speaker", "pos").alias("last"), F.min(known).alias("known0"), F.max(known).alias("known1"))
-    by = W.partitionBy("meeting_id").orderBy("block")
-    edges = edges.withColumns({"to": F.lead("first").over(by), "next": F.lead("block").over(by), "prev": F.lag("block").over(by)})
-    pairs = ctx.select("meeting_id", "speaker", F.lead("speaker").over(nxt).alias("to")).unionByName(edges.select("meeting_id", F.col("last").alias("speaker"), "to"))
-    pairs = pairs.where("speaker IS NOT NULL AND to IS NOT NULL").groupBy("meeting_id", "speaker", "to").agg(F.count("*").alias("c"))
-    steps = pairs.groupBy("meeting_id").agg(F.collect_list(F.struct("speaker", "to", "c")).alias("steps"))
-    places = F.array(
-        F.struct("block", F.lit(True).alias("own")),
-        F.when(F.col("known1").isNull() | (F.col("pos") >= F.col("known1")), F.struct(F.col("next").alias("block"), F.lit(False).alias("own"))),
-        F.when(F.col("known0").isNull() | (F.col("pos") <= F.col("known0")), F.struct(F.col("prev").alias("block"), F.lit(False).alias("own"))),
-    )
-    blocks = ctx.join(edges.select("meeting_id", "block", "known0", "known1", "next", "prev"), ["meeting_id", "block"]).withColumn("place", F.explode(places)).drop("block").select("*", "place.*")
-    blocks = blocks.join(missing.select("meeting_id", F.floor(F.col("pos") / BLOCK).alias("block")).distinct(), ["meeting_id", "block"], "left_semi")
-    blocks = blocks.groupBy("meeting_id", "block").agg(F.sort_array(F.collect_list(F.struct("pos", "speaker", "w", "own"))).alias("rows"))
-    model = blocks.join(profiles, "meeting_id", "left").join(steps, "meeting_id", "left")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                people = [] if r.profiles is None else sorted(r.profiles, key=lambda x: x["speaker"])
-                at = {x["speaker"]: i for i, x in enumerate(people)}
-                if not people:
-                    out += [(r.meeting_id, int(x["pos"]), None) for x in r.rows if x["speaker"] is None and x["own"]]
-                    continue
-                s = len(people)
-                word = np.full((s, BUCKETS), 0.1)
-                for i, x in enumerate(people):
-                    for b, c in dict(x["m"]).items():
-                        word[i, int(b)] += c
-                word = np.log(word / word.sum(1, keepdims=True))
-                step = np.full((s, s), 0.5)
-                for x in r.steps if r.steps is not None else []:
-                    if x["speaker"] in at and x["to"] in at:
-                        step[at[x["speaker"]], at[x["to"]]] += x["c"]
-                share = np.log(np.array([float(x["n"]) + 1 for x in people]))
-                step = np.log(step / step.sum(1, keepdims=True))
-                emit = np.zeros((len(r.rows), s))
-                for i, x in enumerate(r.rows):
-                    if x["speaker"] in at:
-                        emit[i] = -math.inf
-                        emit[i, at[x["speaker"]]] = 0.0
-                    elif x["w"] is not None and len(x["w"]):
-                        emit[i] = word[:, np.asarray(x["w"], int)].sum(1)
-                emit = np.maximum(emit, -1e9)
-                path = viterbi(emit, share - np.log(np.exp(share).sum()), step)
-                out += [(r.meeting_id, int(x["pos"]), people[path[i]]["speaker"]) for i, x in enumerate(r.rows) if x["speaker"] is None and x["own"]]
-            yield pd.DataFrame(out, columns=["meeting_id", "pos", "inferred"])
-
-    return model.mapInPandas(run, "meeting_id string, pos int, inferred string")
-
-
-def texts(phrases: DataFrame) -> DataFrame:
-    """meeting_id, pos, clean: the clean text of every phrase, repeated rows repeatedly."""
-    return phrases.where("meeting_id IS NOT NULL AND pos IS NOT NULL").select("meeting_id", F.col("pos").cast("int").alias("pos"), clean_text("text").alias("clean"))
-
-
-def prepared(phrases: DataFrame) -> DataFrame:
-    """meeting_id, pos, t, speaker, noise of every phrase, written once; missing speakers are inferred where there are any."""
-    plain = {c: F.col(c) for c in ("speakerId", "speakerLabel", "speakerTag", "detectedName", "startTimeMs")}
-    p = deduped(phrases, plain | {"_written": F.when(F.col("startTimeMs").isNull(), written_time("text")), "noise": is_noise("text")})
-    rows = materialise(_resolved(_timed(p)).select("meeting_id", "pos", "t", "speaker", "noise"))
-    if rows.where("speaker IS NULL").isEmpty():
-        return rows
-    guess = infer_missing(rows.select("meeting_id", "pos", "speaker"), deduped(phrases, {"text": clean_text("text")}))
-    return rows.join(guess, ["meeting_id", "pos"], "left").withColumn("speaker", F.coalesce("speaker", "inferred")).drop("inferred")
-
-
-def turns(rows: DataFrame, text: DataFrame | None = None) -> DataFrame:
-    """meeting_id, speaker, first_pos, last_pos, phrases, from_ms and, if ``text`` (as of texts()) is given, text (the clean texts joined by spaces; of
-    repeated rows the smallest text).
+_MODEL = "meeting_id string, people array<string>, words binary, steps binary, keys array<string>, ids array<int>, votes array<long>"
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """meeting_id, who, prev, words, c: counts of hashed words per speaker (prev null) and of steps from one speaker to the next (words null), batch by batch."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        code = lambda c: pc.fill_null(b.column(c).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+        m, who, prev = code("meeting_id"), code("who"), code("prev")
+        _, first, group = np.unique(m * (len(who) + 1) + who, return_index=True, return_inverse=True)
+        w = b.column("w")
+        size = pc.binary_length(w).to_numpy(zero_copy_only=False)
+        sign = np.frombuffer(b"".join(x.encode() for x in w.to_pylist()), np.uint8)
+        words = np.bincount(np.repeat(group, size) * BUCKETS + sign, minlength=len(first) * BUCKETS).astype(np.int32).reshape(-1, BUCKETS)
+        _, at, c = np.unique(np.where(prev < 0, -1, (group * (len(who) + 1)) + prev), return_index=True, return_counts=True)
+        at, c = at[prev[at] >= 0], c[prev[at] >= 0]
+        take = lambda n, i: b.column(n).take(pa.array(i))  # noqa: B023, E731
+        names = ["meeting_id", "who", "prev", "words", "c"]
+        yield pa.RecordBatch.from_arrays([take("meeting_id", first), take("who", first), pa.nulls(len(first), pa.string()), pa.array([x.tobytes() for x in words], pa.binary()), pa.array(np.bincount(group, minlength=len(first)))], names=names)
+        yield pa.RecordBatch.from_arrays([take("meeting_id", at), take("who", at), take("prev", at), pa.nulls(len(at), pa.binary()), pa.array(c)], names=names)
+
+
+def _model(parts: list[dict], seen: list[dict]) -> tuple:
+    """people, log profiles, log steps and votes of one meeting."""
+    ids = {x["id"] for x in seen if x["id"] is not None} | {x["who"] for x in parts if not x["who"].startswith("label ")}
+    votes: dict[tuple[str, str], int] = {}
+    for x in seen:
+        who = x["id"] if ids else f"label {x['k']}" if (x["k"] or "").startswith("n:") else None
+        if who is None:
+            continue
+        k, tag = x["k"], x["tag"]
+        for key, c in ((f"lt|{k}|{tag}", 1000 * (k is not None and tag is not None)), (f"l|{k}", 1000 * (k is not None)), (f"l|{x['inner']}", int(x["inner"] is not None)), (f"l|{x['det']}", int(x["det"] is not None)), (f"t|{tag}", int(k is not None and tag is not None))):
+            if c:
+                votes[key, who] = votes.get((key, who), 0) + c * x["c"]
+    known = {key for key, _ in votes}
+    # a label that nothing else explains is a speaker of its own
+    people = sorted({who for _, who in votes} | ids | {x["who"] for x in parts if x["who"].startswith("label ") and f"l|{x['who'][6:]}" not in known})
+    at = {x: i for i, x in enumerate(people)}
+    words, steps = np.full((len(people), BUCKETS), 0.1), np.full((len(people), len(people)), 0.5)
+    for x in parts:
+        if x["who"] in at:
+            if x["words"] is not None:
+                words[at[x["who"]]] += np.frombuffer(x["words"], np.int32)
+            elif x["prev"] in at:
+                steps[at[x["prev"]], at[x["who"]]] += x["c"]
+    rows = sorted((k, at[i], c) for (k, i), c in votes.items())
+    return people, np.log(words / words.sum(1, keepdims=True)).astype(np.float32).tobytes(), np.log(steps / steps.sum(1, keepdims=True)).astype(np.float32).tobytes(), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+
+
+def models(p: DataFrame) -> DataFrame:
+    """One row per meeting with phrases to decode: its participants, their language, the steps between them, and what its labels stand for. p: as of blocks().
+
+    Counts are made batch by batch where the phrases lie, so a meeting with a third of all rows sends a few rows a batch."""
+    parts = p.where("who IS NOT NULL").select("meeting_id", "who", "prev", "w").mapInArrow(_parts, "meeting_id string, who string, prev string, words binary, c long")
+    parts = parts.groupBy("meeting_id").agg(F.collect_list(F.struct("who", "prev", "words", "c")).alias("parts"))
+    seen = p.where("id IS NOT NULL OR k LIKE 'n:%'").groupBy("meeting_id", "id", "k", "tag", "inner", "det").agg(F.count("*").alias("c"))
+    seen = seen.groupBy("meeting_id").agg(F.collect_list(F.struct("id", "k", "tag", "inner", "det", "c")).alias("seen"))
+
+    schema = to_arrow_schema(StructType.fromDDL(_MODEL))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
+                out = [(m, *_model(x or [], y or [])) for m, x, y in zip(*(part.column(c).to_pylist() for c in ("meeting_id", "parts", "seen")), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    open_ = p.where("id IS NULL").select("meeting_id").distinct()
+    return parts.join(seen, "meeting_id", "full").join(open_, "meeting_id", "left_semi").mapInArrow(run, _MODEL)
+
+
+class _Meeting:
+    """The model of one meeting, ready to decode."""
+
+    def __init__(self, r: dict):
+        self.people = r["people"] or []
+        s = len(self.people)
+        self.at = {x: i for i, x in enumerate(self.people)}
+        self.words = np.frombuffer(r["words"] or b"", np.float32).reshape(s, BUCKETS)
+        self.steps = np.frombuffer(r["steps"] or b"", np.float32).reshape(s, s)
+        self.votes: dict[str, np.ndarray] = {}
+        for k, i, c in zip(r["keys"] or [], r["ids"] or [], r["votes"] or [], strict=True):
+            self.votes.setdefault(k, np.zeros(s))[i] += c
+        self.said: dict[tuple, np.ndarray] = {}
+
+    def label(self, k: str | None, tag: str | None) -> np.ndarray | float:
+        """The weighted logarithm of the shares of votes of a label and tag; 0 for a phrase without a label."""
+        if k is None:
+            return 0.0
+        if (k, tag) not in self.said:
+            v = next((v for key in ((f"lt|{k}|{tag}",) * (tag is not None) + (f"l|{k}",) + (f"t|{tag}",) * (tag is not None)) if (v := self.votes.get(key)) is not None), None)
+            if v is None:
+                v = np.zeros(len(self.people))
+                if f"label {k}" in self.at:
+                    v[self.at[f"label {k}"]] = 1
+            self.said[k, tag] = LABEL * np.log((v + DOUBT) / (v + DOUBT).sum())
+        return self.said[k, tag]
+
+    def path(self, rows: list[dict], before: str | None) -> list[str | None]:
+        """The speakers of a stretch of phrases without an id, perhaps with the one with an id that ends it."""
+        if not self.people:
+            return [None] * len(rows)
+        s = len(self.people)
+        start = self.steps[self.at[before]] if before in self.at else np.zeros(s)
+        emit = np.zeros((len(rows), s))
+        for i, x in enumerate(rows):
+            if x["id"] is not None:
+                emit[i] = -1e9
+                emit[i, self.at[x["id"]]] = 0.0
+            else:
+                emit[i] = self.label(x["k"], x["tag"]) + self.words[:, np.frombuffer(x["w"].encode(), np.uint8)].sum(1)
+        return [self.people[i] for i in viterbi(emit, start, self.steps)]
+
+
+def decoded(p: DataFrame, keep: list[str]) -> DataFrame:
+    """meeting_id, pos, keep, speaker of the phrases without an id: the best path through their meeting's model. p: as of blocks(). Where a meeting has neither an id nor a label, nobody (null)."""
+    rest = F.col("pos") - F.coalesce(F.col("pin_pos"), F.lit(-1)) - 1
+    piece, off = F.floor(rest / BLOCK), F.pmod(rest, F.lit(BLOCK))
+    places = F.array(F.struct(piece.alias("piece"), F.lit(True).alias("own")), F.when((off < LAG) & (piece > 0), F.struct((piece - 1).alias("piece"), F.lit(False).alias("own"))), F.when(off >= BLOCK - LAG, F.struct((piece + 1).alias("piece"), F.lit(False).alias("own"))))
+    rows = p.where("open").withColumn("place", F.explode(places)).where("place IS NOT NULL")
+    row = ["pin_pos", "pos", "pin", "id", "k", "tag", "w", *keep]
+    rows = rows.groupBy("meeting_id", F.floor(F.coalesce(F.col("pin_pos"), F.lit(-1)) / BLOCK).alias("chunk"), "place.piece").agg(F.collect_list(F.struct(*row, F.col("place.own").alias("own"))).alias("rows"))
+    ddl = "meeting_id string, pos int, " + "".join(f"{c} {p.schema[c].dataType.simpleString()}, " for c in keep) + "speaker string"
+
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for b in batches:
+            for part in (b.slice(i, 16) for i in range(0, b.num_rows, 16)):
+                out = []
+                for r in part.to_pylist():
+                    if last[0] != r["meeting_id"]:
+                        last = (r["meeting_id"], _Meeting(r))
+                    stretch: list[dict] = []
+                    for x in [*sorted(r["rows"], key=lambda x: (x["pin_pos"] or -1, x["pos"])), None]:
+                        if stretch and (x is None or x["pin_pos"] != stretch[0]["pin_pos"]):
+                            who = last[1].path(stretch, stretch[0]["pin"] if r["piece"] == 0 else None)
+                            out += [{"meeting_id": r["meeting_id"], "speaker": s, **y} for s, y in zip(who, stretch, strict=True) if y["own"] and y["id"] is None]
+                            stretch = []
+                        if x is not None:
+                            stretch.append(x)
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return rows.join(models(p).hint("merge"), "meeting_id", "left").mapInArrow(run, ddl)
+
+
+def prepared(phrases: DataFrame, with_text: bool = False) -> DataFrame:
+    """meeting_id, pos, t, noise, speaker and, if asked for, clean (the clean text) of every phrase."""
+    p = materialise(blocks(phrases, with_text))
+    keep = ["t", "noise", *(["clean"] if with_text else [])]
+    return p.where("id IS NOT NULL").select("meeting_id", "pos", *keep, F.col("id").alias("speaker")).unionByName(decoded(p, keep))
+
+
+def turns(rows: DataFrame) -> DataFrame:
+    """meeting_id, speaker, first_pos, last_pos, phrases, from_ms and, if ``rows`` have clean texts, text (these joined by spaces).
 
     rows: as of prepared(). A turn is a longest run, in order of time and pos, of one speaker's phrases that aren't noise; phrases of which nobody
     knows the speaker (null) count as one speaker. Nulls in meeting_id or pos drop a row; an empty table gives no turns."""
-    with_text = text is not None
-    if with_text:
-        rows = rows.join(text, ["meeting_id", "pos"])
+    with_text = "clean" in rows.columns
     cols = ["meeting_id", "t", "pos", "speaker", *(["clean"] if with_text else [])]
     n = max(2, shuffle_partitions(rows.sparkSession))
-    ordered = rows.where("NOT noise").select(*cols).repartitionByRange(n, "meeting_id", "t", "pos").sortWithinPartitions("meeting_id", "t", "pos", *(["clean"] if with_text else []))
+    ordered = rows.where("NOT noise").select(*cols).repartitionByRange(n, "meeting_id", "t", "pos").sortWithinPartitions("meeting_id", "t", "pos")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["meeting_id", "speaker", "first_t", "first_pos", "last_t", "last_pos", "n", "edge", *(["text"] if with_text else [])]
         pending: list | None = None  # the run that may go on in the next batch
-        first, seen = True, (None, None, None)
+        first = True
 
         def row(m, s, t0, p0, t1, p1, k, texts):
             return [m, s, t0, p0, t1, p1, k, texts]
@@ -283,20 +349,9 @@ def turns(rows: DataFrame, text: DataFrame | None = None) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            if with_text:  # rows of one place follow each other: only the first counts
-                mi, ti, pi = (pa.compute.fill_null(b.column(c).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False) for c in ("meeting_id", "t", "pos"))
-                keep = np.ones(b.num_rows, bool)
-                keep[1:] = (mi[1:] != mi[:-1]) | (ti[1:] != ti[:-1]) | (pi[1:] != pi[:-1])
-                place = lambda k: tuple(b.column(c)[k].as_py() for c in ("meeting_id", "t", "pos"))  # noqa: B023, E731
-                keep[0] = place(0) != seen
-                seen = place(b.num_rows - 1)
-                if not keep.all():
-                    b = b.filter(pa.array(keep))
-                    if not b.num_rows:
-                        continue
             m, s = b.column("meeting_id"), b.column("speaker")
             mi = m.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            si = pa.compute.fill_null(s.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            si = pc.fill_null(s.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
             t, p = b.column("t").to_numpy(zero_copy_only=False), b.column("pos").to_numpy(zero_copy_only=False)
             cut = np.flatnonzero((mi[1:] != mi[:-1]) | (si[1:] != si[:-1])) + 1
             lo, hi = np.array([0, *cut]), np.array([*cut, b.num_rows])

@@ -279,7 +279,7 @@ PH = "meeting_id string, pos int, speakerId string, speakerLabel string, speaker
 
 def _turns(spark, rows):
     df = spark.createDataFrame(rows, PH).withColumn("arrivedAt", F.to_timestamp("arrivedAt")).withColumn("noise", F.lit("clash"))
-    return [tuple(r) for r in speech.turns(speech.prepared(df), speech.texts(df)).select("meeting_id", "speaker", "first_pos", "last_pos", "text").orderBy("meeting_id", "from_ms", "first_pos").collect()]
+    return [tuple(r) for r in speech.turns(speech.prepared(df, with_text=True)).select("meeting_id", "speaker", "first_pos", "last_pos", "text").orderBy("meeting_id", "from_ms", "first_pos").collect()]
 
 
 def test_turns(spark):
@@ -324,6 +324,27 @@ def test_missing_speakers_across_a_border(spark, monkeypatch):
     assert got["after", 8] == got["before", 7] == "B" and [got["long", i] for i in range(6, 10)] == ["B", "A", "B", "A"]
 
 
+def test_blocks_and_pieces_change_nothing(spark, monkeypatch):
+    """A meeting of more than BLOCK phrases, with long stretches of nobody known and labels now and then, comes out as without blocks; ambiguous labels are settled by the language."""
+    at, r = "2024-01-01 00:00:00", random.Random(3)
+    say = {"A": "бетон арматура опалубка кран".split(), "B": "смета договор счёт бюджет".split(), "C": "да нет хорошо ладно".split()}
+    rows = []
+    for m, known in (("few", 0.05), ("most", 0.8)):
+        for i in range(9000):
+            who = r.choice("AAABBC")
+            label = {"A": "Спикер 1", "B": "Спикер 1", "C": "спикер №2"}[who]
+            rows.append((m, i, who if r.random() < known else None, label if r.random() < 0.6 else None, None, None, i, " ".join(r.choices(say[who], k=3)), at))
+    df = spark.createDataFrame(rows, PH).withColumn("arrivedAt", F.to_timestamp("arrivedAt"))
+    got = {(x.meeting_id, x.pos): x.speaker for x in speech.prepared(df).collect()}
+    monkeypatch.setattr(speech, "BLOCK", 10**6)
+    assert got == {(x.meeting_id, x.pos): x.speaker for x in speech.prepared(df).collect()}
+    said = {(m, i): "A" if t.split()[0] in say["A"] else "B" if t.split()[0] in say["B"] else "C" for m, i, *_, t, _ in rows}
+    assert sum(got[k] == v for k, v in said.items()) > 0.99 * len(said)
+    monkeypatch.setattr(speech, "BLOCK", 64)
+    monkeypatch.setattr(speech, "LAG", 16)
+    assert got == {(x.meeting_id, x.pos): x.speaker for x in speech.prepared(df).collect()}
+
+
 def test_runs_over_many_partitions(spark):
     at, r = "2024-01-01 00:00:00", random.Random(9)
     rows = [("big" if i % 3 else f"m{i % 7}", i, r.choice("AABC"), None, None, None, r.choice([i * 10, i * 10, 500]), "слово", at) for i in range(3000)]
