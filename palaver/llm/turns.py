@@ -30,7 +30,7 @@ from palaver.session import materialise, shuffle_partitions
 BLOCK, LAG = 4096, 256
 BUCKETS = 128
 #: Weight of what a label stands for against the language and the transitions, and the votes that a label has for everyone beforehand.
-LABEL, DOUBT = 100.0, 1e-3
+LABEL, DOUBT = 10.0, 1e-300
 #: The noise markers, and words of sound notes in round brackets.
 MARKERS = "угу ага эм эээ ну вот это так".split()
 NOTES = "смех смеется смеётся кашель аплодисменты музыка шум помехи пауза неразборчиво нрзб тишина звонок телефона стук вздох вздыхает плач шепот шёпот гудок сигнал".split()
@@ -113,8 +113,8 @@ def label_key(c: Column | str) -> Column:
 
 def _hashed(t: Column) -> Column:
     """The words of a text as a string of one ASCII sign each (their bucket)."""
-    words = F.filter(F.split(F.translate(F.lower(F.coalesce(t, F.lit(""))), ".,!?;:…«»\"()\t\n", " "), " "), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.char(F.pmod(F.hash(w), F.lit(BUCKETS)))), "")
+    words = F.split(F.lower(F.nullif(t, F.lit(""))), " ")
+    return F.coalesce(F.array_join(F.transform(words, lambda w: F.char(F.hash(w).bitwiseAND(F.lit(BUCKETS - 1)))), ""), F.lit(""))
 
 
 def blocks(phrases: DataFrame, with_text: bool = False) -> DataFrame:
@@ -139,16 +139,26 @@ def blocks(phrases: DataFrame, with_text: bool = False) -> DataFrame:
     by = within.orderBy("pos")
     pin = F.when(F.col("id").isNotNull(), F.struct("id", "pos"))
     before = by.rowsBetween(W.unboundedPreceding, -1)
-    p = p.withColumns({"_t": F.last("own", True).over(by.rowsBetween(W.unboundedPreceding, 0)), "_pin": F.last(pin, True).over(before), "_prev": F.last("who", True).over(before), "open": F.col("id").isNull() | F.lag("id").over(by).isNull()})
+    here = {
+        "t": F.last("own", True).over(by.rowsBetween(W.unboundedPreceding, 0)), "_pin": F.last(pin, True).over(before), "prev": F.last("who", True).over(before),
+        "open": F.col("id").isNull() | F.lag("id").over(by).isNull(),
+    }
+    p = p.withColumns(here).withColumns({"pin": F.col("_pin.id"), "pin_pos": F.col("_pin.pos")}).drop("_pin")
+    return _carried(materialise(p))
+
+
+def _carried(p: DataFrame) -> DataFrame:
+    """What the phrases at the front of a block, before its first time, id or speaker, take over from the blocks before. These are few, so only they are joined."""
+    lacks = (F.col("block") > 0) & (F.col("t").isNull() | F.col("pin_pos").isNull() | F.col("prev").isNull())
     at = lambda c: F.when(F.col(c).isNotNull(), F.col("pos"))
-    last = p.groupBy("meeting_id", "block").agg(F.max_by("own", at("own")).alias("t0"), F.max(pin["pos"]).alias("_pp"), F.max_by("id", at("id")).alias("_pi"), F.max_by("who", at("who")).alias("prev0"))
+    last = p.join(p.where(lacks).select("meeting_id").distinct(), "meeting_id", "left_semi").groupBy("meeting_id", "block").agg(
+        F.max_by("own", at("own")).alias("t0"), F.max(at("id")).alias("pin_pos0"), F.max_by("id", at("id")).alias("pin0"), F.max_by("who", at("who")).alias("prev0")
+    )
     upto = W.partitionBy("meeting_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    last = last.select("meeting_id", "block", *(F.last(c, True).over(upto).alias(c) for c in ("t0", "_pp", "_pi", "prev0")))
-    p = p.join(last, ["meeting_id", "block"], "left")
-    return p.select(
-        "meeting_id", "pos", F.coalesce("_t", "t0", F.lit(0)).alias("t"), "id", "k", "tag", "inner", "det", "noise", "w", "who", F.coalesce("_prev", "prev0").alias("prev"),
-        F.coalesce("_pin.id", "_pi").alias("pin"), F.coalesce("_pin.pos", "_pp").alias("pin_pos"), "open", *(["clean"] if with_text else []),
-    )
+    taken = ["t", "pin", "pin_pos", "prev"]
+    last = last.select("meeting_id", "block", *(F.last(f"{c}0", True).over(upto).alias(f"{c}0") for c in taken))
+    fronts = p.where(lacks).join(last, ["meeting_id", "block"], "left").withColumns({c: F.coalesce(c, f"{c}0") for c in taken})
+    return p.where(~lacks).unionByName(materialise(fronts.select(*p.columns))).withColumn("t", F.coalesce("t", F.lit(0)))
 
 
 def viterbi(emit: np.ndarray, start: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -311,12 +321,12 @@ def decoded(p: DataFrame, keep: list[str]) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return rows.join(models(p).hint("merge"), "meeting_id", "left").mapInArrow(run, ddl)
+    return materialise(rows.join(models(p).hint("merge"), "meeting_id", "left").mapInArrow(run, ddl))
 
 
 def prepared(phrases: DataFrame, with_text: bool = False) -> DataFrame:
     """meeting_id, pos, t, noise, speaker and, if asked for, clean (the clean text) of every phrase."""
-    p = materialise(blocks(phrases, with_text))
+    p = blocks(phrases, with_text)
     keep = ["t", "noise", *(["clean"] if with_text else [])]
     return p.where("id IS NOT NULL").select("meeting_id", "pos", *keep, F.col("id").alias("speaker")).unionByName(decoded(p, keep))
 

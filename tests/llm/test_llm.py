@@ -331,7 +331,7 @@ def test_blocks_and_pieces_change_nothing(spark, monkeypatch):
     rows = []
     for m, known in (("few", 0.05), ("most", 0.8)):
         for i in range(9000):
-            who = r.choice("AAABBC")
+            who = r.choice("AABBCC")
             label = {"A": "Спикер 1", "B": "Спикер 1", "C": "спикер №2"}[who]
             rows.append((m, i, who if r.random() < known else None, label if r.random() < 0.6 else None, None, None, i, " ".join(r.choices(say[who], k=3)), at))
     df = spark.createDataFrame(rows, PH).withColumn("arrivedAt", F.to_timestamp("arrivedAt"))
