@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palaver.functions import text as X
+from palaver.session import materialise
 
-HIGH, FALLBACK = 0.7, 0.5
+HIGH = 0.7
 
 
 def sane_strings(c: Column | str) -> Column:
@@ -49,50 +47,35 @@ def vote_shares(votes: DataFrame) -> DataFrame:
 def assign_names(votes: DataFrame, roster: DataFrame) -> DataFrame:
     """meeting_id, label, name, votes, total, confidence, candidates: one name per label, by votes, each name as often as the roster has it.
 
-    votes: meeting_id, label, name, seq (order of the votes). roster: meeting_id, name. Candidates are taken by share, then votes, then order. A label that
-    lost a name of a larger share to others takes another only with half of its votes. A first name that the roster has once becomes the full
-    name; one that it has several times keeps the candidates and low confidence. The matching sees one row per label and name of a meeting."""
+    votes: meeting_id, label, name, seq (order of the votes). roster: meeting_id, name. A label stands for a name that none of its others outvotes; of equal ones for the one named
+    first that has room. Labels go before others by their share, then votes, then order. A first name that the roster has once becomes the full
+    name; one that it has several times keeps the candidates and low confidence. Labels ask for their names in rounds, and every round each name keeps its first labels: a window per
+    name of a meeting, until no label that was turned away has another name to ask for (two rounds or so: one for each equal name)."""
     v = votes.withColumn("key", X.name_key(F.trim("name")))
-    total = v.groupBy("meeting_id", "label").agg(F.count("*").alias("total"), F.min("seq").alias("lseq"))
-    c = v.where("key <> ''").groupBy("meeting_id", "label", "key").agg(F.count("*").alias("n"), F.min_by(F.trim("name"), "seq").alias("name"), F.min("seq").alias("cseq"))
-    c = total.join(c, ["meeting_id", "label"], "left")
-    people = roster.where("trim(name) <> ''").select("meeting_id", F.trim("name").alias("full")).distinct().groupBy("meeting_id").agg(F.sort_array(F.collect_list("full")).alias("roster"))
-    rows = c.groupBy("meeting_id").agg(F.collect_list(F.struct("label", "lseq", "total", "key", "n", "name", "cseq")).alias("rows")).join(people, "meeting_id", "left")
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold = lambda s: s.lower().replace("ё", "е")
-        for b in batches:
-            out = []
-            for m, found, roster_ in b.itertuples(index=False):
-                full = {fold(x): x for x in (roster_ if roster_ is not None else [])}
-                first: dict[str, list[str]] = {}
-                for k, x in full.items():
-                    first.setdefault(k.split()[0], []).append(x)
-                room = lambda k, full=full, first=first: 1 if k in full else len(first.get(k, "1"))
-                labels = {r["label"]: r for r in found}
-                cand = sorted((r for r in found if r["key"] is not None), key=lambda r: (-r["n"] / r["total"], -r["n"], r["lseq"], r["cseq"]))
-                used: dict[str, int] = {}
-                won: dict[str, dict] = {}
-                for r in cand:
-                    busy = lambda k, used=used, room=room: used.get(k, 0) >= room(k)
-                    if r["label"] in won or busy(r["key"]):
-                        continue
-                    lost = any(o["label"] == r["label"] and o["n"] > r["n"] and busy(o["key"]) for o in cand)
-                    if lost and r["n"] / r["total"] < FALLBACK:
-                        continue
-                    won[r["label"]] = r
-                    used[r["key"]] = used.get(r["key"], 0) + 1
-                for label, r in sorted(labels.items(), key=lambda x: x[1]["lseq"]):
-                    w = won.get(label)
-                    if w is None:
-                        out.append((m, label, None, 0, int(r["total"]), "low", None))
-                        continue
-                    may = [full[w["key"]]] if w["key"] in full else first.get(w["key"], [])
-                    sure = w["n"] / w["total"] >= HIGH and len(may) < 2
-                    out.append((m, label, may[0] if len(may) == 1 else w["name"], int(w["n"]), int(r["total"]), "high" if sure else "low", may if len(may) > 1 else None))
-            yield pd.DataFrame(out, columns=["meeting_id", "label", "name", "votes", "total", "confidence", "candidates"])
-
-    return rows.mapInPandas(match, "meeting_id string, label string, name string, votes long, total long, confidence string, candidates array<string>")
+    labels = v.groupBy("meeting_id", "label").agg(F.count("*").alias("total"), F.min("seq").alias("lseq"))
+    named = v.where("key <> ''").groupBy("meeting_id", "label", "key").agg(F.count("*").alias("votes"), F.min_by(F.trim("name"), "seq").alias("said"), F.min("seq").alias("cseq"))
+    people = roster.where("trim(name) <> ''").select("meeting_id", F.trim("name").alias("full")).withColumn("key", X.name_key(F.col("full"))).groupBy("meeting_id", "key").agg(F.max("full").alias("full"))
+    by_first = people.groupBy("meeting_id", F.element_at(F.split("key", r"\s+"), 1).alias("key")).agg(F.sort_array(F.collect_list("full")).alias("namesakes"))
+    of_label = W.partitionBy("meeting_id", "label")
+    asks = named.withColumn("_most", F.max("votes").over(of_label)).where("votes = _most").drop("_most").withColumn("turn", F.row_number().over(of_label.orderBy("cseq", "key")))
+    asks = asks.join(people, ["meeting_id", "key"], "left").join(by_first, ["meeting_id", "key"], "left").join(labels, ["meeting_id", "label"])
+    may = F.when(F.col("full").isNotNull(), F.array("full")).otherwise(F.coalesce("namesakes", F.array().cast("array<string>")))
+    asks = materialise(asks.withColumn("may", may).withColumn("room", F.greatest(F.size("may"), F.lit(1))).drop("full", "namesakes"))
+    queue = W.partitionBy("meeting_id", "key").orderBy(F.desc(F.col("votes") / F.col("total")), F.desc("votes"), "lseq", "label")
+    at = asks.select("meeting_id", "label").distinct().withColumn("turn", F.lit(1))
+    while True:
+        asked = materialise(asks.join(at, ["meeting_id", "label", "turn"]).withColumn("kept", F.row_number().over(queue) <= F.col("room")))
+        away = asked.where("NOT kept").select("meeting_id", "label", F.col("turn") + 1).toDF("meeting_id", "label", "turn").join(asks, ["meeting_id", "label", "turn"], "left_semi")
+        if away.isEmpty():
+            break
+        at = materialise(at.join(away.withColumnRenamed("turn", "_next"), ["meeting_id", "label"], "left").select("meeting_id", "label", F.coalesce("_next", "turn").alias("turn")))
+    won = asked.where("kept").select("meeting_id", "label", "said", "votes", "may")
+    out = labels.join(won, ["meeting_id", "label"], "left")
+    sure = (F.col("votes") >= HIGH * F.col("total")) & (F.size("may") < 2)
+    return out.select(
+        "meeting_id", "label", F.when(F.size("may") == 1, F.col("may")[0]).otherwise(F.col("said")).alias("name"), F.coalesce("votes", F.lit(0)).cast("long").alias("votes"), "total",
+        F.when(F.coalesce(sure, F.lit(False)), "high").otherwise("low").alias("confidence"), F.when(F.size("may") > 1, F.col("may")).alias("candidates"),
+    )
 
 
 def confirmation_summary(pairs: DataFrame) -> DataFrame:

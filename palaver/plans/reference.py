@@ -188,7 +188,7 @@ def addressed_names(spark, d):
 def numeric_facts(spark, d):
     """The numbers that each phrase names."""
     p = _ph(spark, d)
-    return p.select("meeting_id", "pos", numbers.numeric_values(F.col("text")).cast("array<string>").alias("values")).where(F.size("values") > 0)
+    return p.select("meeting_id", "pos", numbers.numeric_values(F.col("text")).alias("values")).where(F.size("values") > 0)
 
 
 @query(f"""WITH {PH}, s AS (SELECT CAST(floor(greatest(coalesce(startTimeMs, 0), 0) / 1000) AS BIGINT) s, meeting_id, pos FROM ph)
