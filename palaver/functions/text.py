@@ -132,11 +132,18 @@ def unfence(t: Column) -> Column:
 
 
 def json_object(t: Column) -> Column:
-    """The first candidate that parses as JSON: the text, the text without its fence, its first `{...}`; null if none does."""
+    """The first candidate that parses as JSON: the text, the text without its fence, its first `{...}`, its first `[...]`; null if none does."""
     s = unfence(t)
-    inner = F.nullif(F.regexp_extract(s, r"(?s)(\{.*\})", 1), F.lit(""))
+    inner = [F.nullif(F.regexp_extract(s, rx, 1), F.lit("")) for rx in (r"(?s)(\{.*\})", r"(?s)(\[.*\])")]
     ok = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    return F.coalesce(ok(t), ok(s), ok(inner))
+    return F.coalesce(ok(t), ok(s), *map(ok, inner))
+
+
+def salvaged_drafts(t: Column) -> Column:
+    """Array of (id, label, guessedName): the whole flat objects of a cut-off answer that have an id and a label and mention a guessed name after the id; null gives an empty array."""
+    flat = F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r'(\{[^{}]*"id"[^{}]*"guessedName"[^{}]*\})'), 1)
+    rows = F.transform(flat, lambda x: F.from_json(x, "id string, label string, guessedName string"))
+    return F.filter(rows, lambda r: r.isNotNull() & (r["id"] != "") & (r["label"] != ""))
 
 
 def scoring_form(t: Column) -> Column:

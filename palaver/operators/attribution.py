@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palaver.functions import text as X
+from palaver.functions.numbers import numbers_preserved
+
 
 def parse_rttm(lines: DataFrame, line: str = "value", keep: list[str] | None = None) -> DataFrame:
     """speaker, start, stop of the SPEAKER lines of RTTM text; other lines, and lines whose numbers don't parse, are left out."""
@@ -41,10 +44,28 @@ def apply_refined(phrases: DataFrame, refined: DataFrame, preserved: Column) ->
 
     phrases: id, text; refined: id, refined. ``preserved`` is a condition over text and refined."""
     j = phrases.join(refined, "id", "left")
-    status = F.when(F.col("refined").isNull() | (F.col("refined") == F.col("text")), "unchanged").when(preserved, "applied").otherwise("rejected")
+    status = F.when(F.col("refined").isNull() | F.col("refined").eqNullSafe(F.col("text")), "unchanged").when(preserved, "applied").otherwise("rejected")
     return j.withColumn("status", status).withColumn("result", F.when(F.col("status") == "applied", F.col("refined")).otherwise(F.col("text")))
 
 
+def answered(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, id, body: the answered lines of each answer, blank ones left out, of lines with one number the last one. lines: keys, place, line."""
+    l = lines.select(*keys, "place", X.line_id(F.col("line")).alias("id"), X.line_body(F.col("line")).alias("body")).where("id IS NOT NULL AND body <> ''")
+    return l.groupBy(*keys, "id").agg(F.max_by("body", "place").alias("body"))
+
+
+def correction_report(asked: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, asked, missing, applied, rejected, unchanged, changed_ppm (applied of those asked, in whole millionths; 0 if none was asked): what came of each answer.
+
+    asked: keys, id, text; answers: keys, id, refined (as of answered()). A line whose numbers changed is rejected."""
+    on = [asked[c].eqNullSafe(answers[c]) for c in (*keys, "id")]
+    j = asked.join(answers, on, "left").select(*(asked[c] for c in keys), asked.id, "text", "refined")
+    status = F.when(F.col("refined").isNull(), "missing").when(~numbers_preserved(F.col("text"), F.col("refined")), "rejected").when(F.col("refined") == F.col("text"), "unchanged").otherwise("applied")
+    n = lambda s: F.sum((F.col("status") == s).cast("long")).alias(s)
+    g = j.withColumn("status", status).groupBy(*keys).agg(F.count("*").alias("asked"), *map(n, ("missing", "applied", "rejected", "unchanged")))
+    return g.withColumn("changed_ppm", F.coalesce(F.try_divide(F.col("applied") * 1_000_000, F.col("asked")), F.lit(0)).cast("long"))
+
+
 def named_segments(phrases: DataFrame, drafts: DataFrame) -> DataFrame:
     """Phrases with the name guessed for their speaker, else the name detected in the phrase."""
     d = drafts.groupBy("meeting_id", F.col("id").alias("speakerId")).agg(F.min("guessedName").alias("draft"))

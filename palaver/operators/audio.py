@@ -36,10 +36,11 @@ def snr_db(c: Column) -> Column:
     return 20 * F.log10(at(0.95) / at(0.2))
 
 
-def quality_class(rms_: Column, clip: Column, silence: Column, snr: Column) -> Column:
-    """good, fair or poor by the number of faults: quiet, clipped, mostly silent, noisy."""
-    faults = sum((F.when(x, 1).otherwise(0) for x in (rms_ < 0.01, clip > 0.01, silence > 0.7, snr < 10)), F.lit(0))
-    return F.when(faults == 0, "good").when(faults == 1, "fair").otherwise("poor")
+def quality_class(clip: Column, silence: Column, snr: Column, seconds: Column, peak_: Column) -> Column:
+    """poor with three faults or more, or if mostly silent or too quiet; fair with two, or if noisy; else good. Faults: clipped, mostly silent, noisy, short, quiet; a null is no fault."""
+    clipped, silent, noisy, short, quiet = (F.coalesce(c, F.lit(False)) for c in (clip > 0.001, silence > 0.8, snr < 10, seconds < 5, peak_ < 0.05))
+    faults = sum((c.cast("int") for c in (clipped, silent, noisy, short, quiet)), F.lit(0))
+    return F.when((faults >= 3) | silent | quiet, "poor").when((faults >= 2) | noisy, "fair").otherwise("good")
 
 
 def mono(channels: Column) -> Column:

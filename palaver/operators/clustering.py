@@ -77,6 +77,18 @@ def absorb_small(totals: DataFrame, cents: DataFrame, least: float = 10.0) -> Da
     return totals.select("grp", "label").join(best, ["grp", "label"], "left").select("grp", "label", F.coalesce("to", "label").alias("absorbed"))
 
 
+def absorbed_clusters(segments: DataFrame, names: DataFrame, cents: DataFrame, least: float = 10.0, longest: int = 10) -> DataFrame:
+    """grp, label, absorbed: the cluster of every label after small clusters have gone to big ones.
+
+    segments: as of centroids(); names: grp, label, merged (labels without a centroid may be missing); cents: grp, label (a cluster), centroid. A cluster counts with the time of all segments of its
+    labels. One without a centroid gets that of its naming label's longest segments, whatever their length; without any vector it stays."""
+    every = segments.select("grp", "label").distinct().join(names, ["grp", "label"], "left").select("grp", "label", F.coalesce("merged", "label").alias("merged"))
+    totals = total_durations(segments).join(every, ["grp", "label"]).groupBy("grp", F.col("merged").alias("label")).agg(F.sum("total").alias("total"))
+    fallback = centroids(segments.join(cents.select("grp", "label"), ["grp", "label"], "left_anti"), longest, 0.0)
+    to = absorb_small(totals, cents.select("grp", "label", "centroid").unionByName(fallback.select("grp", "label", "centroid")), least)
+    return every.join(to.withColumnRenamed("label", "merged"), ["grp", "merged"]).select("grp", "label", "absorbed")
+
+
 def merge_rounds(cents: DataFrame, rounds: int, floor: float = 0.8) -> DataFrame:
     """grp, label, merged after several rounds: each round merges the clusters of the one before; names are followed to the end.
 

@@ -9,6 +9,9 @@ more distinct instants than ``bucket``.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,10 +23,9 @@ def boundaries(df: DataFrame, keys: list[str], start: str, end: str, bucket: int
     """The instants where an entity's active count leaves or reaches zero: keys, _b (bucket), _t, _open (true where a period starts).
 
     Spans with a null key part, a null end or ``end <= start`` take no part. Repeated spans count once or twice alike."""
-    spans = df.select(
-        *keys,
-        F.explode(F.array(F.struct(F.col(start).cast("long").alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).cast("long").alias("t"), F.lit(-1).alias("d")))).alias("_e"),
-    ).where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys) + f" AND {start} IS NOT NULL AND {end} IS NOT NULL AND {end} > {start}" if keys else "true")
+    valid = df.where(reduce(and_, [*(F.col(k).isNotNull() for k in keys), F.col(end) > F.col(start)]))
+    at = lambda c, d: F.struct(F.col(c).cast("long").alias("t"), F.lit(d).alias("d"))
+    spans = valid.select(*keys, F.explode(F.array(at(start, 1), at(end, -1))).alias("_e"))
     spans = spans.select(*keys, F.floor(F.col("_e.t") / F.lit(bucket)).alias("_b"), F.col("_e.t").alias("_t"), F.col("_e.d").alias("_d"))
     at = spans.groupBy(*keys, "_b", "_t").agg(F.sum("_d").alias("_d"))
     at = at.where("_d <> 0 AND _b IS NOT NULL AND _t IS NOT NULL")  # as many spans end as start here: the count is the same on both sides, and it isn't zero

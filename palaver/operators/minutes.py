@@ -116,6 +116,33 @@ def merged_glossary(old: DataFrame, new: DataFrame) -> DataFrame:
     return v.groupBy("grp", "term").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("k", "v")))), lambda s: s["v"]).alias("variants"))
 
 
+def merged_terms(old: DataFrame, new: DataFrame, scalars: list[str]) -> DataFrame:
+    """grp, term, variants and the scalar fields of both glossaries: of a term that both have the old fields stay (also where they are null), and the variants are united as in merged_glossary()."""
+    fields = old.select("grp", "term", *scalars, F.lit(0).alias("_o")).unionByName(new.select("grp", "term", *scalars, F.lit(1).alias("_o")))
+    one = fields.groupBy("grp", "term").agg(F.min_by(F.struct(*scalars), F.struct("_o", *scalars)).alias("f")).select("grp", "term", *(F.col(f"f.{c}").alias(c) for c in scalars))
+    return one.join(merged_glossary(old.select("grp", "term", "variants"), new.select("grp", "term", "variants")), ["grp", "term"])
+
+
+def merged_abbreviations(old: DataFrame, new: DataFrame) -> DataFrame:
+    """grp, abbreviation, meaning of both; a new meaning replaces an old one."""
+    return new.unionByName(old.join(new.select("grp", "abbreviation"), ["grp", "abbreviation"], "left_anti"))
+
+
+def merged_samples(samples: DataFrame, lists: DataFrame) -> DataFrame:
+    """meeting_id, title, overview, topics of the sample with the longest overview (ties: the earliest), and items: the lists of all samples, flattened in the order of the samples, without those that resemble an earlier one.
+
+    samples: meeting_id, sample, title, overview, topics; lists: meeting_id, sample, pos, item."""
+    from palaver.operators.ordered import with_running_sum
+    from palaver.operators.similarity import greedy_dedup
+
+    order = F.struct(F.length(F.coalesce("overview", F.lit(""))), -F.col("sample"))
+    best = samples.groupBy("meeting_id").agg(F.max_by(F.struct("title", "overview", "topics"), order).alias("b")).select("meeting_id", "b.*")
+    flat = with_running_sum(lists.withColumn("_place", F.col("sample").cast("long") * 2**32 + F.col("pos")), ["meeting_id"], "_place", F.lit(1), "id")
+    kept = greedy_dedup(flat.select(F.col("meeting_id").alias("grp"), F.col("id").alias("pos"), F.col("item").alias("text"))).select(F.col("grp").alias("meeting_id"), F.col("pos").alias("id"))
+    items = flat.join(kept, ["meeting_id", "id"]).groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "item"))), lambda s: s["item"]).alias("items"))
+    return best.join(items, "meeting_id", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+
+
 def previous_meeting(meetings: DataFrame) -> DataFrame:
     """meeting_id, previous_id: the latest earlier finished meeting of the same project, by (updatedAt, id). meetings: id, projectId, status, updatedAt.
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -162,6 +164,30 @@ def packed_chunks(p: DataFrame, budget: int = 8000, tail: int = 2) -> DataFrame:
     return d.mapInPandas(fold, "meeting_id string, chunk long, first_id long, last_id long, chars long, context_ids array<long>")
 
 
+def text_pieces(df: DataFrame, keys: list[str], text: str, budget: int = 18_000) -> DataFrame:
+    """keys, piece, text: texts cut between lines into pieces; a line that would take a piece beyond ``budget`` characters (each newline counts one) opens the next. A longer line is a
+    piece of its own, an empty text one empty piece; null has none. A text is one row, so its lines are one task's work; its pieces are emitted one by one."""
+    ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(i, 1) for whole in batches for i in range(whole.num_rows)):
+            t = b.column(len(keys))[0].as_py()
+            if t is None:
+                continue
+            lines = t.split("\n")
+            ends = np.cumsum([len(x) + 1 for x in lines])  # where each line ends, its newline included
+            first, pieces = 0, []
+            while first < len(lines):
+                before = int(ends[first - 1]) if first else 0
+                after = max(first + 1, int(np.searchsorted(ends, before + budget + 1, "right")))
+                pieces.append("\n".join(lines[first:after]))
+                first = after
+            rows = b.take(pa.array([0] * len(pieces)))
+            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keys))), pa.array(range(1, len(pieces) + 1), pa.int32()), pa.array(pieces, pa.string())], names=[*keys, "piece", "text"])
+
+    return df.select(*keys, F.col(text).alias("_text")).mapInArrow(cut, f"{ddl}, piece int, text string")
+
+
 def addressed_names(p: DataFrame) -> DataFrame:
     """Names that whole phrases call, per meeting in order of first appearance."""
     return in_order(p.withColumn("name", X.addressed_name(F.col("text"))), "meeting_id", "name", "pos")

@@ -13,8 +13,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palaver.session import materialise
+
 
 def norm_key(c: Column | str) -> Column:
     """Without outer spaces and slashes, in lower case; null stays null. A key of nothing but those is the empty key, which no parent has."""
@@ -126,7 +129,8 @@ def orphan_references(parents: list[Parent], references: list[Reference], ranges
     after the reference's earliest). period is the month of the earliest arrival of the referring rows. A null key refers to nothing; an
     empty one (nothing but spaces and slashes) to no parent. A record whose rows name several keys is listed once, with the worst of them
     in the order above. A null arrival is never late, and gives a null period. Without parents every reference is missing; without
-    references the result is empty. ``ranges``: number of key ranges; a range's parents should fit a task's memory."""
+    references the result is empty. ``ranges``: number of key ranges; a range's parents should fit a task's memory. A range with more than twice its share of the
+    references (a hot key) is split by record."""
     both = None
     for part in [*map(_parents, parents), *map(_references, references)]:
         both = part if both is None else both.unionByName(part)
@@ -134,7 +138,15 @@ def orphan_references(parents: list[Parent], references: list[Reference], ranges
     rows = both.withColumn("full", full).withColumn("h", F.xxhash64("full"))
     top = F.shiftright("h", 40) + F.lit(2**23)  # the hash's upper 24 bits, as an unsigned number
     rows = rows.withColumn("rng", F.floor(top * F.lit(ranges) / F.lit(2**24)).cast("int"))
-    rows = rows.select("rng", "side", "h", "full", "at", "gone", "src_table", "ref_field", "record")
+    rows = materialise(rows.select("rng", "side", "h", "full", "at", "gone", "src_table", "ref_field", "record"))
+    # a range with a hot key has more references than its share: it is split by record, and its parents go to every part
+    sizes = rows.where("side = 1").groupBy("rng").agg(F.count("*").alias("n"))
+    whole = F.sum("n").over(W.partitionBy(F.lit(0)))
+    parts = sizes.select("rng", F.ceil(F.col("n") * ranges / (2 * whole)).cast("int").alias("parts"))
+    rows = rows.join(F.broadcast(parts), "rng", "left")  # at most ``ranges`` rows
+    own = F.pmod(F.xxhash64("record"), F.coalesce("parts", F.lit(1))).cast("int")
+    rows = rows.withColumn("_part", F.explode(F.when(F.col("side") == 1, F.array(own)).otherwise(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))))
+    rows = rows.withColumn("rng", F.col("rng").cast("long") * 2**20 + F.col("_part")).drop("_part", "parts")
     found = rows.repartition(ranges, "rng").sortWithinPartitions("rng", "side", "h").mapInArrow(_probe, _OUT)
     rank = F.when(F.col("why") == "missing", 0).when(F.col("why") == "deleted", 1).otherwise(2)
     return (

@@ -57,9 +57,14 @@ def rate(errors: Column, size: Column, other: Column) -> Column:
     return F.when(size > 0, errors / size).when(other == 0, F.lit(0.0)).otherwise(F.lit(1.0))
 
 
+def characters(t: Column) -> Column:
+    """The scoring form without its spaces, as characters are compared."""
+    return F.replace(X.scoring_form(t), F.lit(" "))
+
+
 def character_errors(ref: Column, hyp: Column) -> Column:
-    """Edit distance in characters of the texts in scoring form."""
-    return F.levenshtein(X.scoring_form(ref), X.scoring_form(hyp))
+    """Edit distance in characters of the texts in scoring form; spaces don't count."""
+    return F.levenshtein(characters(ref), characters(hyp))
 
 
 def _millionths(c: str, ok: Column) -> Column:
@@ -70,9 +75,9 @@ def _millionths(c: str, ok: Column) -> Column:
 
 
 def averages(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: runs, runs with a valid score, and the mean scores in millionths (null where there are none)."""
+    """Per group: runs, runs with a valid score, and the mean scores in millionths (0 where there are none)."""
     ok = F.col("werAfter").isNotNull() & ~F.isnan("werAfter")
-    return results.groupBy(*keys).agg(F.count("*").alias("runs"), F.sum(ok.cast("int")).alias("scored"), _millionths("werBefore", ok).alias("wer_before_ppm"), _millionths("werAfter", ok).alias("wer_after_ppm"))
+    return results.groupBy(*keys).agg(F.count("*").alias("runs"), F.sum(ok.cast("int")).alias("scored"), *(F.coalesce(_millionths(c, ok), F.lit(0)).alias(n) for c, n in (("werBefore", "wer_before_ppm"), ("werAfter", "wer_after_ppm"))))
 
 
 def rolled_up(results: DataFrame) -> DataFrame:

@@ -77,6 +77,14 @@ def grounded(values: DataFrame, names: DataFrame, labels: DataFrame) -> DataFram
     return d.where("_n OR _s OR _some IS NULL").select("grp", "pos", "text")
 
 
+def grounded_owners(tasks: DataFrame, names: DataFrame, labels: DataFrame, team: str = "Команда") -> DataFrame:
+    """Tasks (grp, pos, owner, ...) whose owner was neither heard nor is a label, given to the team; no owner stays none, and a group without speakers keeps its owners."""
+    who = tasks.where("owner IS NOT NULL AND owner <> ''").select("grp", F.col("owner").alias("pos"), F.col("owner").alias("text")).distinct()
+    known = grounded(who, names, labels).select("grp", F.col("text").alias("owner"), F.lit(True).alias("_k"))
+    d = tasks.join(known, ["grp", "owner"], "left")
+    return d.withColumn("owner", F.when(F.col("_k") | F.col("owner").isNull() | (F.col("owner") == ""), F.col("owner")).otherwise(team)).select(*tasks.columns)
+
+
 def greedy_dedup(items: DataFrame, least: float = NEAR) -> DataFrame:
     """grp, pos of the items that stay: in order of pos, an item goes if it resembles an earlier one that stayed (not: any earlier one).
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from palaver.functions import numbers, text as X
 from palaver.operators import attribution, audio, audit, clustering, minutes, phrases, scoring, similarity
-from palaver.session import table
+from palaver.session import materialise, table
+from palaver.sources import formats
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -48,11 +49,13 @@ def _tasks(spark: SparkSession, d: str) -> DataFrame:
 def _items(spark: SparkSession, d: str) -> DataFrame:
     """Tasks as (grp, pos, text); only tasks of one owner of a meeting are compared, owners in lower case with ё as е, no owner being one too."""
     t = _tasks(spark, d)
+    again = F.concat(F.col("task"), F.lit(" на объекте "), F.coalesce("deadline", F.lit("Север-2 до 2024")))  # every task once more in other words, so that there is something to find
+    t = t.unionByName(t.select("meeting_id", (F.col("pos") + 100_000).alias("pos"), "owner", again.alias("task"), "deadline"))
     key = F.to_json(F.array("meeting_id", F.coalesce(X.name_key(F.col("owner")), F.lit("\u0000"))))
     return t.select(key.alias("grp"), "pos", F.col("task").alias("text"), "meeting_id")
 
 
-_BY_OWNER = f"WITH {TASKS}, k AS (SELECT *, replace(lower(owner), 'ё', 'е') ok FROM t), "
+_BY_OWNER = f"WITH {TASKS}, t2 AS (SELECT * FROM t UNION ALL SELECT meeting_id, pos + 100000, owner, task || ' на объекте ' || coalesce(deadline, 'Север-2 до 2024'), deadline FROM t), k AS (SELECT *, replace(lower(owner), 'ё', 'е') ok FROM t2), "
 _PAIRED = _BY_OWNER + (
     f"n AS (SELECT meeting_id, pos, ok, {NORM.format('task')} s FROM k), g AS (SELECT meeting_id, pos, ok, CASE WHEN length(s) >= 3 THEN {GRAMS.format('s')} ELSE [] END g FROM n), "
     f"d AS (SELECT a.meeting_id, a.pos i, b.pos j, {DICE.format('a.g', 'b.g')} score FROM g a JOIN g b ON a.meeting_id = b.meeting_id AND a.ok IS NOT DISTINCT FROM b.ok AND a.pos < b.pos), "
@@ -170,12 +173,27 @@ def speakers_in_order(spark, d):
     return phrases.in_order(_ph(spark, d), "meeting_id", "speakerId", "pos")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PH}, l AS (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY pos) id, speakerLabel, text FROM ph),
+z AS (SELECT meeting_id, id, length('[' || id || '] ' || coalesce(speakerLabel, 'null') || ': ' || coalesce(text, '')) size FROM l),
+f AS (SELECT meeting_id, id, size chars, CAST(1 AS BIGINT) chunk FROM z WHERE id = 1 UNION ALL
+SELECT z.meeting_id, z.id, CASE WHEN chars + size > 8000 THEN size ELSE chars + size END, CASE WHEN chars + size > 8000 THEN chunk + 1 ELSE chunk END FROM f JOIN z ON z.meeting_id = f.meeting_id AND z.id = f.id + 1),
+c AS (SELECT meeting_id, chunk, min(id) first_id, max(id) last_id, max(chars) chars FROM f GROUP BY 1, 2), p AS (SELECT *, lag(first_id) OVER (PARTITION BY meeting_id ORDER BY chunk) pf FROM c)
+SELECT meeting_id, chunk, first_id, last_id, CAST(chars AS BIGINT) chars, CASE WHEN pf IS NULL THEN CAST([] AS BIGINT[]) ELSE range(greatest(pf, first_id - 2), first_id) END context_ids FROM p""")
 def refine_chunks(spark, d):
     """Lines packed into chunks of 8000 characters."""
     return phrases.packed_chunks(_ph(spark, d))
 
 
+@query("""WITH RECURSIVE t AS (SELECT meeting_id, min(rawText) AS text FROM transcript GROUP BY 1), a AS (SELECT meeting_id, string_split(text, chr(10)) ls FROM t WHERE text IS NOT NULL),
+l AS (SELECT meeting_id, unnest(range(1, len(ls) + 1)) id, unnest(ls) line FROM a), f AS (SELECT meeting_id, id, length(line) + 1 n, 1 piece FROM l WHERE id = 1 UNION ALL
+SELECT l.meeting_id, l.id, CASE WHEN n + length(line) > 2000 THEN length(line) + 1 ELSE n + length(line) + 1 END, CASE WHEN n + length(line) > 2000 THEN piece + 1 ELSE piece END FROM f JOIN l ON l.meeting_id = f.meeting_id AND l.id = f.id + 1)
+SELECT meeting_id, piece, string_agg(line, chr(10) ORDER BY id) AS text FROM f JOIN l USING (meeting_id, id) GROUP BY 1, 2""")
+def transcript_pieces(spark, d):
+    """Transcripts cut between lines into pieces of 2000 characters."""
+    t = table(spark, d, "transcript").groupBy("meeting_id").agg(F.min("rawText").alias("text"))
+    return phrases.text_pieces(t, ["meeting_id"], "text", 2000)
+
+
 @query(rf"""WITH {PH}, n AS (SELECT meeting_id, pos, nullif(regexp_extract(trim(text), '^([А-ЯЁ][а-яё]{{1,20}})[?!.]?$', 1), '') AS name FROM ph),
 s AS (SELECT meeting_id, name, min(pos) p FROM n WHERE name IS NOT NULL AND lower(name) NOT IN ({", ".join(f"'{w}'" for w in X.ADDRESS_STOP)}) AND NOT regexp_matches(lower(name), '(ск|бург|град|поль|полье)$') GROUP BY 1, 2)
 SELECT meeting_id, name, row_number() OVER (PARTITION BY meeting_id ORDER BY p, name) place FROM s""")
@@ -201,23 +219,68 @@ def timecodes(spark, d):
 # ---- texts with structure
 
 
-@query(r"""WITH r AS (SELECT model, caseId, run, min(rawResponse) raw FROM results GROUP BY ALL), l AS (SELECT model, caseId, run, unnest(string_split(raw, chr(10))) line FROM r WHERE raw IS NOT NULL)
-SELECT model, caseId, run, CAST(regexp_extract(line, '^\s*\[(\d+)\]', 1) AS INT) id, trim(regexp_replace(trim(regexp_extract(line, '^\s*\[\d+\]\s*(.*)$', 1)), '(?i)^спикер\s*\d+\s*:\s*', '')) body FROM l WHERE regexp_matches(line, '^\s*\[\d+\]')""")
+@query(f"WITH {PH} SELECT meeting_id, pos, coalesce(speakerTag, '0') tag, text, CAST(startTimeMs AS BIGINT) start_ms FROM ph WHERE trim(text) <> ''")
+def recognised_phrases(spark, d):
+    """Phrases written as the recogniser's JSON lines and parsed from them again."""
+    word = F.struct(F.col("text"), F.col("startTimeMs").cast("long").alias("startTimeMs"), F.col("endTimeMs").cast("long").alias("endTimeMs"))
+    final = F.struct(F.col("speakerTag").alias("channelTag"), F.array(F.struct("text", F.array(word).alias("words"))).alias("alternatives"))
+    lines = _ph(spark, d).select("meeting_id", "pos", F.to_json(F.struct(F.struct(final.alias("final")).alias("result"))).alias("value"))
+    r = formats.parse_recognition(lines, keep=["meeting_id", "pos"])
+    return r.select("meeting_id", "pos", "tag", "text", F.col("words")[0]["startTimeMs"].alias("start_ms"))
+
+
+@query("SELECT DISTINCT meeting_id, id, label, guessedName FROM speaker_drafts WHERE id <> '' AND label <> ''")
+def salvaged_drafts(spark, d):
+    """Drafts read back from an answer that was cut off within its last object."""
+    s = table(spark, d, "speaker_drafts").select("meeting_id", "id", "label", "guessedName").distinct()
+    raw = F.concat(F.lit('```json [{"id": "x"}, '), F.to_json(F.struct("id", "label", "guessedName"), {"ignoreNullFields": "false"}), F.lit(', {"id": "speaker-9", "guessedName": '))
+    cut = s.select("meeting_id", raw.alias("raw"))
+    return cut.select("meeting_id", F.inline(X.salvaged_drafts(F.col("raw"))))
+
+
+
+_ANSWERS = r"""r AS (SELECT model, caseId, run, min(rawResponse) raw FROM results GROUP BY ALL), l AS (SELECT model, caseId, run, unnest(range(0, len(ls))) place, unnest(ls) line FROM (SELECT *, string_split(raw, chr(10)) ls FROM r WHERE raw IS NOT NULL)),
+b AS (SELECT model, caseId, run, place, CAST(regexp_extract(line, '^\s*\[(\d+)\]', 1) AS INT) id, trim(regexp_replace(trim(regexp_extract(line, '^\s*\[\d+\]\s*(.*)$', 1)), '(?i)^спикер\s*\d+\s*:\s*', '')) body FROM l WHERE regexp_matches(line, '^\s*\[\d+\]')),
+ans AS (SELECT model, caseId, run, id, arg_max(body, place) body FROM b WHERE body <> '' GROUP BY ALL)"""
+_RUN_KEYS = ["model", "caseId", "run"]
+
+
+def _answers(spark, d):
+    """Lines of the models' answers that hold something, each number once."""
+    r = table(spark, d, "results").groupBy(*_RUN_KEYS).agg(F.min("rawResponse").alias("raw"))
+    return attribution.answered(r.select(*_RUN_KEYS, F.posexplode(F.split("raw", "\n")).alias("place", "line")), _RUN_KEYS)
+
+
+@query(f"WITH {_ANSWERS} SELECT model, caseId, run, id, body FROM ans")
 def refined_lines(spark, d):
-    """Numbered lines of the models' answers."""
-    r = table(spark, d, "results").groupBy("model", "caseId", "run").agg(F.min("rawResponse").alias("raw"))
-    line = F.col("line")
-    l = r.select("model", "caseId", "run", F.explode(F.split("raw", "\n")).alias("line"))
-    return l.select("model", "caseId", "run", X.line_id(line).alias("id"), X.line_body(line).alias("body")).where("id IS NOT NULL")
+    """Numbered lines of the models' answers; blank ones are none, and of one number the last counts."""
+    return _answers(spark, d)
+
+
+#: The lines that a case asks for: every number that some answer to it holds.
+_ASKED = "asked AS (SELECT a.model, a.caseId, a.run, c.id FROM (SELECT DISTINCT model, caseId, run FROM r WHERE raw IS NOT NULL) a JOIN (SELECT DISTINCT caseId, id FROM ans) c USING (caseId))"
 
 
-@query(r"""WITH r AS (SELECT model, caseId, run, min(rawResponse) raw FROM results GROUP BY ALL), l AS (SELECT model, caseId, run, unnest(string_split(raw, chr(10))) line FROM r WHERE raw IS NOT NULL),
-i AS (SELECT DISTINCT model, caseId, run, CAST(regexp_extract(line, '^\s*\[(\d+)\]', 1) AS INT) id FROM l WHERE regexp_matches(line, '^\s*\[\d+\]')), m AS (SELECT model, caseId, run, max(id) top FROM i GROUP BY ALL),
-w AS (SELECT model, caseId, run, CAST(unnest(range(1, top + 1)) AS INT) id FROM m) SELECT w.* FROM w WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.model IS NOT DISTINCT FROM w.model AND i.caseId = w.caseId AND i.run = w.run AND i.id = w.id)""")
+def _asked(spark, d, answers):
+    runs = table(spark, d, "results").where("rawResponse IS NOT NULL").select(*_RUN_KEYS).distinct()
+    case = answers.groupBy("caseId", "id").agg(F.min("body").alias("text"))
+    return runs.join(case, "caseId").select(*_RUN_KEYS, "id", "text")
+
+
+@query(f"WITH {_ANSWERS}, {_ASKED} SELECT model, caseId, run, id FROM asked WHERE NOT EXISTS (SELECT 1 FROM ans i WHERE NOT regexp_matches(i.body, '[0-9]') AND i.model IS NOT DISTINCT FROM asked.model AND i.caseId = asked.caseId AND i.run = asked.run AND i.id = asked.id)")
 def missing_lines(spark, d):
-    """Line numbers that an answer left out."""
-    l = refined_lines(spark, d).where("id > 0").groupBy("model", "caseId", "run").agg(F.collect_set("id").alias("ids"), F.max("id").alias("top"))  # an answer's lines
-    return l.select("model", "caseId", "run", F.explode(F.array_except(F.sequence(F.lit(1), F.col("top")), "ids")).alias("id"))
+    """Lines that a case asks for and an answer lacks, if what holds digits doesn't count as answered."""
+    got = _answers(spark, d)
+    asked = _asked(spark, d, got)
+    got = got.where(~F.col("body").rlike("[0-9]"))
+    return asked.join(got, [asked[c].eqNullSafe(got[c]) for c in (*_RUN_KEYS, "id")], "left_anti").select(*_RUN_KEYS, "id")
+
+
+@query()
+def correction_loop(spark, d):
+    """What came of each answer's lines against the case's (the smallest answer to a line stands for what was asked): missing, applied, rejected for changed numbers, unchanged."""
+    got = _answers(spark, d)
+    return attribution.correction_report(_asked(spark, d, got), got.withColumnRenamed("body", "refined"), _RUN_KEYS)
 
 
 @query(r"""WITH t AS (SELECT meeting_id, min(rawText) AS text FROM transcript GROUP BY 1), a AS (SELECT meeting_id, regexp_split_to_array(text, '\r?\n') ls FROM t WHERE text IS NOT NULL),
@@ -436,7 +499,10 @@ def candidate_pairs(spark, d):
     return similarity.all_pairs(_items(spark, d)).select(F.get_json_object("grp", "$[0]").alias("meeting_id"), "i", "j", F.round("score", 6).alias("score"), "src")
 
 
-@query()
+@query((_PAIRED + """e AS (SELECT meeting_id, ok, j pos, list(i) near FROM (SELECT d.meeting_id, k.ok, i, j FROM d JOIN k ON k.meeting_id = d.meeting_id AND k.pos = d.j WHERE score >= 0.6) GROUP BY 1, 2, 3),
+o AS (SELECT k.meeting_id, coalesce(k.ok, chr(0)) ok, k.pos, coalesce(near, []) near, row_number() OVER (PARTITION BY k.meeting_id, k.ok ORDER BY k.pos) n FROM k LEFT JOIN e ON e.meeting_id = k.meeting_id AND e.pos = k.pos),
+f AS (SELECT meeting_id, ok, n, [pos] kept FROM o WHERE n = 1 UNION ALL SELECT o.meeting_id, o.ok, o.n, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, o.pos) END FROM f JOIN o ON o.meeting_id = f.meeting_id AND o.ok = f.ok AND o.n = f.n + 1)
+SELECT meeting_id, unnest(kept) pos FROM (SELECT meeting_id, ok, arg_max(kept, n) kept FROM f GROUP BY 1, 2)""").replace("WITH", "WITH RECURSIVE", 1))
 def kept_tasks(spark, d):
     """Tasks left by the greedy dedup within an owner."""
     return similarity.greedy_dedup(_items(spark, d)).select(F.get_json_object("grp", "$[0]").alias("meeting_id"), "pos")
@@ -467,6 +533,18 @@ def grounded_participants(spark, d):
     return similarity.grounded(v, names, labels).select(F.col("grp").alias("meeting_id"), F.col("text").alias("participant"))
 
 
+@query(f"""WITH {TASKS}, s AS (SELECT meeting_id, label, guessedName g FROM speaker_drafts), o AS (SELECT DISTINCT meeting_id, owner, {NORM.format('owner')} s FROM t WHERE owner <> ''), og AS (SELECT *, CASE WHEN length(s) >= 3 THEN {GRAMS.format('s')} ELSE [] END g FROM o),
+n AS (SELECT DISTINCT meeting_id, {NORM.format('g')} s FROM s WHERE g IS NOT NULL), nq AS (SELECT *, CASE WHEN length(s) >= 3 THEN {GRAMS.format('s')} ELSE [] END g FROM n),
+k AS (SELECT meeting_id, owner FROM og WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.meeting_id = og.meeting_id) OR EXISTS (SELECT 1 FROM s WHERE s.meeting_id = og.meeting_id AND s.label = og.owner) OR EXISTS (SELECT 1 FROM nq WHERE nq.meeting_id = og.meeting_id AND {DICE.format('og.g', 'nq.g')} >= 0.6))
+SELECT t.meeting_id, pos, CASE WHEN t.owner IS NULL OR t.owner = '' OR k.owner IS NOT NULL THEN t.owner ELSE 'Команда' END AS owner FROM t LEFT JOIN k ON k.meeting_id = t.meeting_id AND k.owner = t.owner""")
+def grounded_tasks(spark, d):
+    """Tasks of owners who weren't heard, given to the team."""
+    s = table(spark, d, "speaker_drafts")
+    names = s.where("guessedName IS NOT NULL").select(F.col("meeting_id").alias("grp"), F.col("guessedName").alias("text"))
+    t = _tasks(spark, d).select(F.col("meeting_id").alias("grp"), "pos", "owner")
+    return similarity.grounded_owners(t, names, s.select(F.col("meeting_id").alias("grp"), "label")).withColumnRenamed("grp", "meeting_id")
+
+
 # ---- minutes
 
 
@@ -544,11 +622,11 @@ _ASCII = "translate({0}, 'абвгдежзийклмнопрстуфхцчшщъ
 
 
 @query(f"""WITH {PH}, f AS (SELECT meeting_id, pos, text, lead(text) OVER (PARTITION BY meeting_id ORDER BY pos) nxt FROM ph), s AS (SELECT meeting_id, pos, {_SCORE.format('text')} a, {_SCORE.format("trim(regexp_replace(coalesce(text, ''), '[(\\[<{{*][^)\\]>}}*]*[)\\]>}}*]', '', 'g'))")} b FROM f)
-SELECT meeting_id, pos, levenshtein({_ASCII.format('a')}, {_ASCII.format('b')}) errors, length(a) AS size, round(CASE WHEN length(a) > 0 THEN levenshtein({_ASCII.format('a')}, {_ASCII.format('b')}) / length(a) WHEN length(b) = 0 THEN 0.0 ELSE 1.0 END, 6) cer FROM s""")
+SELECT meeting_id, pos, levenshtein({_ASCII.format('a')}, {_ASCII.format('b')}) errors, length(a) AS size, round(CASE WHEN length(a) > 0 THEN levenshtein({_ASCII.format('a')}, {_ASCII.format('b')}) / length(a) WHEN length(b) = 0 THEN 0.0 ELSE 1.0 END, 6) cer FROM (SELECT meeting_id, pos, replace(a, ' ', '') a, replace(b, ' ', '') b FROM s)""")
 def character_errors(spark, d):
     """Character errors of each phrase against itself without bracketed notes."""
     bare = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[(\[<{*][^)\]>}*]*[)\]>}*]", ""))
-    a, b = X.scoring_form(F.col("text")), X.scoring_form(bare)
+    a, b = scoring.characters(F.col("text")), scoring.characters(bare)
     e = scoring.character_errors(F.col("text"), bare)
     return _ph(spark, d).select("meeting_id", "pos", e.alias("errors"), F.length(a).cast("long").alias("size"), F.round(scoring.rate(e, F.length(a), F.length(b)), 6).alias("cer"))
 
@@ -571,7 +649,7 @@ def _results(spark, d):
 _PPM = "CAST(sum(TRY_CAST(round({0} * 1000000) AS BIGINT)) FILTER (ok AND NOT isnan({0})) // nullif(count({0}) FILTER (ok AND NOT isnan({0})), 0) AS BIGINT)"
 
 
-@query(f"WITH {_RES} SELECT model, caseId, count(*) runs, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) scored, {_PPM.format('werBefore')} wer_before_ppm, {_PPM.format('werAfter')} wer_after_ppm FROM o GROUP BY 1, 2")
+@query(f"WITH {_RES} SELECT model, caseId, count(*) runs, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) scored, coalesce({_PPM.format('werBefore')}, 0) wer_before_ppm, coalesce({_PPM.format('werAfter')}, 0) wer_after_ppm FROM o GROUP BY 1, 2")
 def case_averages(spark, d):
     """Averages per model and case."""
     return scoring.averages(_results(spark, d), ["model", "caseId"])
@@ -608,7 +686,7 @@ def changed_phrases(spark, d):
     return p.groupBy("meeting_id").agg(F.count("*").alias("phrases"), F.sum((X.correct(F.col("text")) != F.col("text")).cast("long")).alias("changed")).withColumn("changed", F.coalesce("changed", F.lit(0)))
 
 
-@query(f"""WITH {_RES}, m AS (SELECT coalesce(model, '-') m, count(*) runs, {_PPM.format('werAfter')} p FROM o GROUP BY model) SELECT '| model | runs | error |' || chr(10) || '|---|---|---|' || chr(10) || string_agg(printf('| %s | %d | %.2f %% |', m, runs, p / 10000), chr(10) ORDER BY m) AS table FROM m""")
+@query(f"""WITH {_RES}, m AS (SELECT coalesce(model, '-') m, count(*) runs, coalesce({_PPM.format('werAfter')}, 0) p FROM o GROUP BY model) SELECT '| model | runs | error |' || chr(10) || '|---|---|---|' || chr(10) || string_agg(printf('| %s | %d | %.2f %% |', m, runs, p / 10000), chr(10) ORDER BY m) AS table FROM m""")
 def score_table(spark, d):
     """Mean errors per model as a markdown table."""
     return minutes.score_table(scoring.averages(_results(spark, d), ["model"]))
@@ -620,6 +698,17 @@ def projects_by_name(spark, d):
     return audit.by_name(table(spark, d, "projects").select("id", "name").distinct(), "name")
 
 
+@query("""WITH o AS (SELECT meeting_id grp, lower(trim(guessedName)) term, min(confidence) confidence, list_sort(list(DISTINCT guessedName)) variants FROM speaker_drafts WHERE trim(guessedName) <> '' GROUP BY 1, 2),
+n AS (SELECT meeting_id grp, lower(trim(owner)) term, CAST(NULL AS VARCHAR) confidence, list_sort(list(DISTINCT owner)) variants FROM action_items WHERE trim(owner) <> '' GROUP BY 1, 2)
+SELECT coalesce(o.grp, n.grp) grp, coalesce(o.term, n.term) term, o.confidence, CASE WHEN o.term IS NULL THEN n.variants WHEN n.term IS NULL THEN o.variants ELSE o.variants || list_filter(n.variants, lambda x: NOT list_contains(o.variants, x)) END variants FROM o FULL JOIN n ON o.grp = n.grp AND o.term = n.term""")
+def merged_glossaries(spark, d):
+    """Two glossaries of a meeting (guessed names, owners) put together: fields of the first stay, spellings are united."""
+    side = lambda t, c, f: t.where(f"trim({c}) <> ''").groupBy(F.col("meeting_id").alias("grp"), F.lower(F.trim(c)).alias("term")).agg(f.alias("confidence"), F.array_sort(F.collect_set(c)).alias("variants"))
+    old = side(table(spark, d, "speaker_drafts"), "guessedName", F.min("confidence"))
+    new = side(table(spark, d, "action_items"), "owner", F.min(F.lit(None).cast("string")))
+    return minutes.merged_terms(old, new, ["confidence"])
+
+
 # ---- clustering and signals
 
 
@@ -643,9 +732,9 @@ def voice_centroids(spark, d):
 def merged_voices(spark, d):
     """Labels after one round of merging nearest voices, and the small ones absorbed."""
     s = _segments(spark, d)
-    c = clustering.centroids(s)
-    m = clustering.merge_nearest(c, floor=0.2)
-    a = clustering.absorb_small(clustering.total_durations(s), c, least=500.0)
+    c = materialise(clustering.centroids(s))
+    m = materialise(clustering.merge_nearest(c, floor=0.2))
+    a = clustering.absorbed_clusters(s, m, clustering.merged_centroids(c, m), least=500.0)
     return m.join(a, ["grp", "label"]).select("label", "merged", "absorbed")
 
 
@@ -658,3 +747,13 @@ def signal_statistics(spark, d):
     return table(spark, d, "embeddings").select(
         "vec_id", F.round(audio.rms(e), 6).alias("rms"), F.round(audio.peak(e), 6).alias("peak"), F.round(audio.clipping_ratio(e), 6).alias("clipped"), F.round(audio.silence_ratio(e), 6).alias("silent"), F.round(audio.snr_db(e), 4).alias("snr")
     )
+
+
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) e FROM embeddings), a AS (SELECT vec_id, list_sort(list_transform(e, lambda v: abs(v))) m FROM x),
+f AS (SELECT vec_id, len(list_filter(m, lambda v: v > 0.98)) / len(m) > 0.001 c, len(list_filter(m, lambda v: v < 0.005)) / len(m) > 0.8 s, 20 * log10(greatest(m[CAST(floor(len(m) * 0.95) AS INT) + 1], 1e-6) / greatest(m[CAST(floor(len(m) * 0.2) AS INT) + 1], 1e-6)) < 10 n, vec_id % 20 < 5 t, list_max(m) < 0.05 q FROM a)
+SELECT vec_id, CASE WHEN CAST(c AS INT) + CAST(s AS INT) + CAST(n AS INT) + CAST(t AS INT) + CAST(q AS INT) >= 3 OR s OR q THEN 'poor' WHEN CAST(c AS INT) + CAST(s AS INT) + CAST(n AS INT) + CAST(t AS INT) + CAST(q AS INT) >= 2 OR n THEN 'fair' ELSE 'good' END quality FROM f""")
+def quality_classes(spark, d):
+    """The quality class of sample arrays (vec_id modulo 20 as their seconds)."""
+    e = F.col("embedding")
+    q = audio.quality_class(audio.clipping_ratio(e), audio.silence_ratio(e), audio.snr_db(e), F.col("vec_id") % 20, audio.peak(e))
+    return table(spark, d, "embeddings").select("vec_id", q.alias("quality"))

@@ -5,21 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.session import table
+from palaver.session import shared_dir, table
 from palaver.streaming import pipeline
 
 
+PARTS, FILES = 4, 4
+#: Repeated phrases come within five days of the first.
+WITHIN = "7 days"
+
+
+def _replayed(spark: SparkSession, d: str, name: str, ts: str) -> DataFrame:
+    """A table as a stream in the order of a time: written in parts that follow each other, each of as many files as one batch takes. Rows without the time come first."""
+    t = table(spark, d, name)
+    low, high = t.agg(F.min(F.unix_micros(F.col(ts).cast("timestamp"))), F.max(F.unix_micros(F.col(ts).cast("timestamp")))).first()
+    step = max(1, ((high or 0) - (low or 0)) // PARTS + 1)
+    part = F.coalesce(F.least(F.lit(PARTS - 1), F.floor((F.unix_micros(F.col(ts).cast("timestamp")) - F.lit(low or 0)) / step)), F.lit(0))
+    to = shared_dir(spark)
+    for i in range(PARTS):
+        t.where(part == i).repartition(FILES).write.mode("append").parquet(to)
+    return pipeline.parquet_stream(spark, to, FILES)
+
+
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Hourly counts per event type, as updates; the last update of a window is its result."""
-    s = pipeline.windowed_counts(pipeline.parquet_stream(spark, f"{d}/events.parquet"), "ts", "event_type", "value", late="36500 days")
+    s = pipeline.windowed_counts(_replayed(spark, d, "events", "ts"), "ts", "event_type", "value", late="1 hour")
     got = pipeline.run_once(s, "update").groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("r"))
     return got.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", F.col("r.n").alias("n"), F.round("r.total", 4).alias("total"))
 
 
 def stream_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     """Phrases of a meeting's stream, each once."""
-    p = pipeline.parquet_stream(spark, f"{d}/phrases.parquet").select("meeting_id", "pos", "text", "arrivedAt")
-    return pipeline.run_once(pipeline.deduplicated(p, ["meeting_id", "pos"], "arrivedAt", "36500 days").select("meeting_id", "pos", "text"))
+    p = _replayed(spark, d, "phrases", "arrivedAt").select("meeting_id", "pos", "text", "arrivedAt")
+    return pipeline.run_once(pipeline.deduplicated(p, ["meeting_id", "pos"], "arrivedAt", WITHIN).select("meeting_id", "pos", "text"))
 
 
 def stream_latest(spark: SparkSession, d: str) -> DataFrame:

@@ -33,9 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which every executor can reach.
 
-    Only where the setting is absent (local tests) a folder of this machine is taken and set for the session."""
+    Only where the setting is absent and the master is local (tests) a folder of this machine is taken; on a cluster it must be set. What was written is deleted when the process ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(shared_dir, "_own", None) or "file://" + tempfile.mkdtemp(prefix="palaver-")
         shared_dir._own = base
     to = f"{base.rstrip('/')}/palaver-{uuid.uuid4().hex}"
@@ -63,6 +65,24 @@ def ship(spark: SparkSession) -> bool:
 _MADE: list[str] = []
 
 
+def _clean_at_exit() -> None:
+    """Deletes what is left once the process ends; where the JVM is gone already, only folders of this machine."""
+    while _MADE:
+        to = _MADE.pop()
+        if to.startswith(("file:", "/")):
+            shutil.rmtree(to.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+            continue
+        try:
+            jvm = SparkSession.getActiveSession()._jvm
+            p = jvm.org.apache.hadoop.fs.Path(to)
+            p.getFileSystem(SparkSession.getActiveSession().sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001
+            return
+
+
+atexit.register(_clean_at_exit)
+
+
 def clean_up(spark: SparkSession) -> int:
     """Deletes the tables that this process wrote below the shared folder, once nothing reads them any more; gives their number."""
     n = 0

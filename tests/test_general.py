@@ -88,3 +88,18 @@ def test_order_over_blocks(spark):
             total += v
             assert got[g, p] == (last, total)
             last = v
+
+
+def test_hot_reference_key_is_split(spark):
+    """A key with most of the references is probed in several parts, and nothing is lost."""
+    from datetime import datetime as D
+
+    parents = [(f"k{i}", D(2024, 1, 1), None) for i in range(200)] + [("hot", D(2024, 1, 1), D(2024, 2, 1))]
+    refs = [(f"r{i}", "hot" if i % 3 else f"k{i % 400}", D(2024, 1, 2)) for i in range(6000)]
+    got = _refs(spark, parents, refs, 16)
+    assert {(x[2], x[4]) for x in got} == {(f"r{i}", "deleted") for i in range(6000) if i % 3} | {(f"r{i}", "missing") for i in range(0, 6000, 3) if i % 400 >= 200}
+
+
+def test_periods_without_keys(spark):
+    df = spark.createDataFrame([(1, 3), (2, 5), (9, 4), (None, 2), (7, 8)], "`a b` long, b long")
+    assert {tuple(x) for x in periods_and_gaps(df, [], "`a b`", "b").collect()} == {("period", 1, 5), ("gap", 5, 7), ("period", 7, 8)}

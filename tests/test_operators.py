@@ -222,3 +222,59 @@ def test_adapter_retries_and_reports(spark):
     df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "flaky"), (4, None)], "id int, prompt string")
     got = {r.id: (r.answer, r.error) for r in apply_adapter(df, ["id"], ["prompt"], "string", make, waits=(0.01,)).collect()}
     assert got == {1: ("a", None), 2: (None, "ValueError: no"), 3: ("flaky", None), 4: (None, None)}
+
+
+def test_correction_report(spark):
+    """Blank lines don't count as answered, of one number the last line does, changed numbers are rejected, and what wasn't answered is missing."""
+    lines = [(0, "[1] Спикер 2: новая строка"), (1, "[1] другая фраза"), (2, "[2]  "), (3, "[3] было 21 штук"), (4, "[4] так же"), (5, "болтовня"), (6, "[9] лишняя")]
+    got = attribution.answered(spark.createDataFrame([("a", *x) for x in lines], "run string, place int, line string"), ["run"])
+    assert {(r.id, r.body) for r in got.collect()} == {(1, "другая фраза"), (3, "было 21 штук"), (4, "так же"), (9, "лишняя")}
+    asked = spark.createDataFrame([("a", 1, "новая"), ("a", 2, "x"), ("a", 3, "было двадцать штук"), ("a", 4, "так же"), (None, 1, "y")], "run string, id int, text string")
+    rows = {r.run: tuple(r)[1:] for r in attribution.correction_report(asked, got.withColumnRenamed("body", "refined"), ["run"]).collect()}
+    assert rows == {"a": (4, 1, 1, 1, 1, 250_000), None: (1, 1, 0, 0, 0, 0)}
+
+
+def test_text_pieces(spark):
+    texts = [(1, "aaaa\nbb\ncccccccccccc\nd"), (2, ""), (3, None), (4, "x" * 30), (5, "a\n\nb")]
+    df = spark.createDataFrame(texts, "id int, text string").withColumn("piece", F.lit("clash"))
+    got = {(r.id, r.piece): r.text for r in phrases.text_pieces(df, ["id"], "text", 8).collect()}
+    want = {}
+    for i, t in texts:
+        if t is None:
+            continue
+        piece, buf, n = 1, [], 0
+        for line in t.split("\n"):
+            if buf and n + len(line) > 8:
+                want[i, piece], piece, buf, n = "\n".join(buf), piece + 1, [], 0
+            buf.append(line)
+            n += len(line) + 1
+        want[i, piece] = "\n".join(buf)
+    assert got == want
+
+
+def test_quality_classes(spark):
+    rows = [(0.0, 0.1, 20.0, 9.0, 0.5, "good"), (0.01, 0.1, 20.0, 9.0, 0.5, "good"), (0.01, 0.1, 20.0, 2.0, 0.5, "fair"), (0.0, 0.1, 5.0, 9.0, 0.5, "fair"), (0.0, 0.9, 20.0, 9.0, 0.5, "poor"), (0.0, 0.1, 20.0, 9.0, 0.01, "poor"), (0.01, 0.1, 5.0, 2.0, 0.5, "poor"), (None, None, None, None, None, "good")]
+    df = spark.createDataFrame(rows, "c double, s double, n double, t double, p double, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", audio.quality_class(F.col("c"), F.col("s"), F.col("n"), F.col("t"), F.col("p"))).collect())
+
+
+def test_small_clusters_are_absorbed_by_their_summed_time(spark):
+    """Two merged labels are big together; a label too short for a centroid goes by all of its segments; one without vectors stays."""
+    v = lambda *x: [float(i) for i in x]
+    seg = [("r", 1, 1, 6.0, v(1, 0)), ("r", 2, 2, 6.0, v(1, 0.1)), ("r", 3, 3, 20.0, v(0, 1)), ("r", 4, 4, 0.5, v(0.1, 1)), ("r", 5, 5, 0.5, None)]
+    s = spark.createDataFrame(seg, "grp string, label int, seg int, duration double, embedding array<double>")
+    c = clustering.centroids(s)
+    m = spark.createDataFrame([("r", 1, 1), ("r", 2, 1), ("r", 3, 3)], "grp string, label int, merged int")
+    got = {(r.label, r.absorbed) for r in clustering.absorbed_clusters(s, m, clustering.merged_centroids(c, m)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)}
+
+
+def test_merged_samples_and_glossaries(spark):
+    samples = spark.createDataFrame([("m", 1, "А", "коротко", ["т1"]), ("m", 2, "Б", "подлиннее", ["т2"]), ("m", 3, "В", "подлиннее", ["т3"])], "meeting_id string, sample int, title string, overview string, topics array<string>")
+    lists = spark.createDataFrame([("m", 1, 0, "Заказать бетон для плиты"), ("m", 2, 0, "Заказать бетон для плиты."), ("m", 2, 1, "Позвонить заказчику")], "meeting_id string, sample int, pos int, item string")
+    assert [tuple(r) for r in minutes.merged_samples(samples, lists).collect()] == [("m", "Б", "подлиннее", ["т2"], ["Заказать бетон для плиты", "Позвонить заказчику"])]
+    old = spark.createDataFrame([("p", "t", ["a"], "старое")], "grp string, term string, variants array<string>, note string")
+    new = spark.createDataFrame([("p", "t", ["b", "a"], "новое"), ("p", "u", None, "новое")], old.schema)
+    assert {(r.term, r.note, tuple(r.variants)) for r in minutes.merged_terms(old, new, ["note"]).collect()} == {("t", "старое", ("a", "b")), ("u", "новое", ())}
+    a, b = (spark.createDataFrame([("p", "СП", x), *extra], "grp string, abbreviation string, meaning string") for x, extra in (("старое", [("p", "ПК", "комиссия")]), ("новое", [])))
+    assert {(r.abbreviation, r.meaning) for r in minutes.merged_abbreviations(a, b).collect()} == {("СП", "новое"), ("ПК", "комиссия")}

@@ -88,3 +88,14 @@ def test_entities_of_a_very_long_text(spark):
     t = "слово " * 100_005 + "Ольховка и 125"
     assert sorted(one(spark, X.entities, t)) == ["125", "ольховка"]
     assert one(spark, X.entities, "Ольховка") == [] and one(spark, X.entities, "") == [] and one(spark, X.entities, None) is None
+
+
+def test_cut_off_answers_are_salvaged(spark):
+    raw = '[{"id": "speaker-1", "label": "Спикер 1", "guessedName": "Артем"}, {"id": "speaker-2", "label": "Спикер 2", "guessedName": null}, {"id": "", "label": "x", "guessedName": "y"}, {"id": "speaker-3", "gue'
+    df = spark.createDataFrame([(raw,), (None,), ("{}",)], "t string").select(X.salvaged_drafts(F.col("t")).alias("d"))
+    assert [[tuple(x) for x in r.d] for r in df.collect()] == [[("speaker-1", "Спикер 1", "Артем"), ("speaker-2", "Спикер 2", None)], [], []]
+    assert one(spark, X.json_object, "ответ: [1, 2] вот") == "[1, 2]"
+
+
+def test_numbers_of_any_length():
+    assert numbers.numbers_in("9" * 50 + " и " + "1" * 5000)[0] == int("9" * 50)
