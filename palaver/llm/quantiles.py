@@ -12,6 +12,7 @@ they are merged in two steps (64 tasks' sketches at a time, then per group). Ske
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +24,22 @@ from pyspark.sql import functions as F
 B, K = 16, 1024
 #: Values that a task holds before it hands on what it has; bounds its memory however many groups there are.
 HELD = 4_000_000
+#: What an open sketch weighs in that count, its Python objects included.
+OPEN = 200
 FAN_IN = 64
 
 
+def buffer_size(error: float, most: int) -> int:
+    """The buffer size (a power of two) that keeps the rank error of up to ``most`` values a group within ``error`` of their number.
+
+    The weights of all buffers that collapse on one level add up to n / k at most, and each collapse adds half its weight to the bound; every collapse at least doubles the weight, so there are
+    log2(n / k) levels at most, and the bound is n log2(n / k) / 2k."""
+    k = 2
+    while max(0.0, math.log2(max(1.0, most / k))) / (2 * k) > error:
+        k *= 2
+    return k
+
+
 class Sketch:
     def __init__(self, b: int = B, k: int = K):
         self.b, self.k, self.n, self.err, self.flip = b, k, 0, 0, 0
@@ -142,6 +156,7 @@ def sketches(df: DataFrame, keys: list[str], metrics: list[str], b: int = B, k:
                     if len(v):
                         if (group, m) not in own:
                             own[group, m] = Sketch(b, k)
+                            held += OPEN
                         own[group, m].add(v)
                         held += len(v)
             if held > HELD:

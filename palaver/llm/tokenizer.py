@@ -9,6 +9,7 @@ Pieces are encoded once per worker and kept; the memory is bounded and only save
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,7 +121,7 @@ def _broadcast(spark: SparkSession, vocabulary: str | None, folder: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(shared) -> Encoder:
@@ -132,7 +133,7 @@ def _encoder(shared) -> Encoder:
 
 class _Shared:
     def __init__(self, b):
-        self.b, self.id = b, b._jbroadcast.id()
+        self.b, self.id = b, hashlib.md5(b.value).hexdigest()
 
     def __getstate__(self):
         return {"b": self.b, "id": self.id}

@@ -35,6 +35,17 @@ def test_sketch_keeps_its_bound():
             assert (values < v).sum() < rank + s.err and (values <= v).sum() >= rank - s.err
 
 
+def test_buffer_size_keeps_the_error_that_is_asked_for():
+    r = np.random.default_rng(5)
+    for error, n in ((0.05, 30_000), (0.01, 200_000)):
+        k = quantiles.buffer_size(error, n)
+        s = quantiles.Sketch(4, k)
+        for c in np.array_split(r.normal(size=n), 23):
+            s.add(c)
+        assert s.err <= error * n and quantiles.buffer_size(error, n // 2) <= k
+    assert quantiles.buffer_size(0.01, 10**10) == 2048
+
+
 def test_default_sketch_is_tight_over_a_million():
     s = quantiles.Sketch()
     v = np.random.default_rng(2).permutation(1_000_000).astype(float)
