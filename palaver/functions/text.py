@@ -16,11 +16,12 @@ NOISE = ["угу", "ага", "эм", "эээ", "ну", "вот", "это", "та
 #: Fixed value: placeholder strings that mean nothing was said.
 JUNK = r"^(null|нет(\s.*)?|не\s+(было|указано|определено|найдено|заданы?).*|отсутствует.*)$"
 #: Words that open a phrase like a name does.
-ADDRESS_STOP = (
-    "хорошо ладно ясно понятно итак значит короче кстати слушай слушайте смотри смотрите ну да нет так ок окей стоп погоди подожди секунду момент внимание вопрос "
-    "возможно наверное например собственно вообще естественно конечно точно отлично супер класс круто всё все давайте давай пожалуйста пойдем пойдём сделаем смех "
-    "аналогично получается соответственно правильно позвонил устранять мониторинг обследование"
-).split()
+ADDRESS_STOP = [
+    "хорошо", "ладно", "ясно", "понятно", "итак", "значит", "короче", "кстати", "слушай", "слушайте", "смотри", "смотрите", "ну", "да", "нет", "так", "ок", "окей",
+    "стоп", "погоди", "подожди", "секунду", "момент", "внимание", "вопрос", "возможно", "наверное", "например", "собственно", "вообще", "естественно", "конечно",
+    "точно", "отлично", "супер", "класс", "круто", "всё", "все", "давайте", "давай", "пожалуйста", "пойдем", "пойдём", "сделаем", "смех", "аналогично", "получается",
+    "соответственно", "правильно", "позвонил", "устранять", "мониторинг", "обследование",
+]
 #: Month names in the nominative and the genitive.
 MONTHS = ["январь января", "февраль февраля", "март марта", "апрель апреля", "май мая", "июнь июня", "июль июля", "август августа", "сентябрь сентября", "октябрь октября", "ноябрь ноября", "декабрь декабря"]
 #: Letters to Latin for slugs.

@@ -27,8 +27,8 @@ def _not_alone(items: DataFrame) -> DataFrame:
 def dice_pairs(items: DataFrame, least: float = LOW, below: float | None = None) -> DataFrame:
     """grp, i, j, score: pairs i < j of a group whose Dice score is at least ``least`` and, if given, less than ``below``.
 
-    items: grp, pos, text; (grp, pos) unique, grp not null. Exact: candidates come from an equi-join on the rarest-possible prefix of the sorted
-    gram sets and a length bound, then the whole sets are compared. Texts under three letters have no grams and no pairs."""
+    items: grp, pos, text; (grp, pos) unique, grp not null. Exact: candidates come from an equi-join on the prefix of the gram sets in the order of their
+    hashes (an order that frequent grams don't lead) and a length bound, then the whole sets are compared. Texts under three letters have no grams and no pairs."""
     d = _not_alone(items.select("grp", "pos", "text")).select("grp", "pos", X.grams(F.col("text")).alias("g")).where(F.size("g") > 0)
     p = d.select("grp", "pos", F.size("g").alias("n"), F.explode(_prefix("g", least)).alias("k"))
     a, b = (p.select("grp", F.col("pos").alias(i), F.col("n").alias(f"n_{i}"), "k") for i in ("i", "j"))
@@ -61,11 +61,14 @@ def drop_resembling(items: DataFrame, others: DataFrame, least: float = NEAR) ->
 
 def resembling(items: DataFrame, others: DataFrame, least: float = NEAR) -> DataFrame:
     """grp, pos of the items with a Dice score of at least ``least`` to one of the group's others."""
+    bound = least / (2 - least)
     d = items.select("grp", "pos", X.grams(F.col("text")).alias("g")).where(F.size("g") > 0)
-    o = others.select("grp", X.grams(F.col("text")).alias("h")).where(F.size("h") > 0).distinct()
-    a = d.select("grp", "pos", "g", F.explode(_prefix("g", least)).alias("k")).select("grp", "pos", "g", "k")
-    b = o.select("grp", "h", F.explode(_prefix("h", least)).alias("k")).select("grp", "h", "k")
-    return a.join(b, ["grp", "k"]).where(X.dice(F.col("g"), F.col("h")) >= least).select("grp", "pos").distinct()
+    o = others.select("grp", X.grams(F.col("text")).alias("h")).where(F.size("h") > 0).withColumn("o", F.md5(F.array_join(F.array_sort("h"), "\n").cast("binary"))).dropDuplicates(["grp", "o"])
+    a = d.select("grp", "pos", F.size("g").alias("n"), F.explode(_prefix("g", least)).alias("k"))
+    b = o.select("grp", "o", F.size("h").alias("m"), F.explode(_prefix("h", least)).alias("k"))
+    c = a.join(b, ["grp", "k"]).where(f"least(n, m) >= {bound} * greatest(n, m) - 1e-9").select("grp", "pos", "o").distinct()
+    c = c.join(d, ["grp", "pos"]).join(o, ["grp", "o"])
+    return c.where(X.dice(F.col("g"), F.col("h")) >= least).select("grp", "pos").distinct()
 
 
 def grounded(values: DataFrame, names: DataFrame, labels: DataFrame) -> DataFrame:
