@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions import text as X
+from palaver.session import materialise
 
 NEAR, LOW = 0.6, 0.3
 
@@ -30,6 +31,7 @@ def dice_pairs(items: DataFrame, least: float = LOW, below: float | None = None)
     items: grp, pos, text; (grp, pos) unique, grp not null. Exact: candidates come from an equi-join on the prefix of the gram sets in the order of their
     hashes (an order that frequent grams don't lead) and a length bound, then the whole sets are compared. Texts under three letters have no grams and no pairs."""
     d = _not_alone(items.select("grp", "pos", "text")).select("grp", "pos", X.grams(F.col("text")).alias("g")).where(F.size("g") > 0)
+    d = materialise(d)  # read four times, and costly to make
     p = d.select("grp", "pos", F.size("g").alias("n"), F.explode(_prefix("g", least)).alias("k"))
     a, b = (p.select("grp", F.col("pos").alias(i), F.col("n").alias(f"n_{i}"), "k") for i in ("i", "j"))
     bound = least / (2 - least)
