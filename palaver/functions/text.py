@@ -140,9 +140,13 @@ def json_object(t: Column) -> Column:
     return F.coalesce(ok(t), ok(s), *map(ok, inner))
 
 
+#: Fixed value: a whole flat object of an answer with an id and, after it, a guessed name.
+FLAT_DRAFT = r'(\{[^{}]*"id"[^{}]*"guessedName"[^{}]*\})'
+
+
 def salvaged_drafts(t: Column) -> Column:
     """Array of (id, label, guessedName): the whole flat objects of a cut-off answer that have an id and a label and mention a guessed name after the id; null gives an empty array."""
-    flat = F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r'(\{[^{}]*"id"[^{}]*"guessedName"[^{}]*\})'), 1)
+    flat = F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(FLAT_DRAFT), 1)
     rows = F.transform(flat, lambda x: F.from_json(x, "id string, label string, guessedName string"))
     return F.filter(rows, lambda r: r.isNotNull() & (r["id"] != "") & (r["label"] != ""))
 
