@@ -22,21 +22,23 @@ def _prefix(g: str, least: float) -> Column:
 
 def _not_alone(items: DataFrame) -> DataFrame:
     """Items of groups of two or more: the others have no pairs, and their texts needn't be looked at."""
-    return items.join(items.groupBy("grp").agg(F.count("*").alias("_n")).where("_n > 1").select("grp"), "grp", "left_semi")
+    return items.join(items.groupBy("grp").agg(F.count("*").alias("_n")).where("_n > 1").select("grp").hint("merge"), "grp", "left_semi")
 
 
 def dice_pairs(items: DataFrame, least: float = LOW, below: float | None = None) -> DataFrame:
     """grp, i, j, score: pairs i < j of a group whose Dice score is at least ``least`` and, if given, less than ``below``.
 
     items: grp, pos, text; (grp, pos) unique, grp not null. Exact: candidates come from an equi-join on the prefix of the gram sets in the order of their
-    hashes (an order that frequent grams don't lead) and a length bound, then the whole sets are compared. Texts under three letters have no grams and no pairs."""
+    hashes (an order that frequent grams don't lead) and a length bound, then the whole sets are compared. Texts under three letters have no grams and no pairs.
+    All joins are shuffles by hint: gram sets and grams take little as files, by which Spark chooses broadcasts, and many times that in the driver's memory."""
     d = _not_alone(items.select("grp", "pos", "text")).select("grp", "pos", X.grams(F.col("text")).alias("g")).where(F.size("g") > 0)
     d = materialise(d)  # read four times, and costly to make
     p = d.select("grp", "pos", F.size("g").alias("n"), F.explode(_prefix("g", least)).alias("k"))
     a, b = (p.select("grp", F.col("pos").alias(i), F.col("n").alias(f"n_{i}"), "k") for i in ("i", "j"))
     bound = least / (2 - least)
-    c = a.join(b, ["grp", "k"]).where(f"i < j AND least(n_i, n_j) >= {bound} * greatest(n_i, n_j) - 1e-9").select("grp", "i", "j").distinct()
-    c = c.join(d.select("grp", F.col("pos").alias("i"), F.col("g").alias("gi")), ["grp", "i"]).join(d.select("grp", F.col("pos").alias("j"), F.col("g").alias("gj")), ["grp", "j"])
+    c = a.join(b.hint("merge"), ["grp", "k"]).where(f"i < j AND least(n_i, n_j) >= {bound} * greatest(n_i, n_j) - 1e-9").select("grp", "i", "j").distinct()
+    gi, gj = (d.select("grp", F.col("pos").alias(i), F.col("g").alias(f"g{i}")).hint("merge") for i in ("i", "j"))
+    c = c.join(gi, ["grp", "i"]).join(gj, ["grp", "j"])
     out = c.select("grp", "i", "j", X.dice(F.col("gi"), F.col("gj")).alias("score")).where(F.col("score") >= least)
     return out if below is None else out.where(F.col("score") < below)
 

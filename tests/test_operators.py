@@ -93,6 +93,20 @@ def test_dice_pairs_are_exact(spark):
     assert {(x.grp, x.pos) for x in similarity.greedy_dedup(df).collect()} == {(a, b) for a in kept for b in kept[a]}
 
 
+def broadcasts(df):
+    """Joins by broadcast, of small tables that Spark is free to broadcast, in the plan that ran."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+ALIKE = [("a", i, f"Отправить акт №{10 + i % 3} по Северу") for i in range(6)]
+
+
+def test_dice_pairs_broadcast_nothing(spark):
+    df = spark.createDataFrame(ALIKE, "grp string, pos int, text string")
+    assert broadcasts(similarity.dice_pairs(df, 0.3, 0.6)) == 0
+
+
 def test_dedup_vectors(spark):
     cases = [
         ("Накидать смету на вариант со сэндвич-панелями для сравнения стоимости с бетонными плитами", "Накидать смету на замену плит на сэндвич-панели для сравнения стоимости", 1),
