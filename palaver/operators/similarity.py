@@ -48,7 +48,7 @@ def entity_pairs(items: DataFrame, least: float = 0.5) -> DataFrame:
     d = _not_alone(items.select("grp", "pos", "text")).select("grp", "pos", X.entities(F.col("text")).alias("e")).where(F.size("e") > 0)
     x = d.select("grp", "pos", F.size("e").alias("n"), F.explode("e").alias("k"))
     a, b = (x.select("grp", F.col("pos").alias(i), F.col("n").alias(f"n_{i}"), "k") for i in ("i", "j"))
-    c = a.join(b, ["grp", "k"]).where("i < j").groupBy("grp", "i", "j").agg((F.count("*") / F.min(F.least("n_i", "n_j"))).alias("score"))
+    c = a.join(b.hint("merge"), ["grp", "k"]).where("i < j").groupBy("grp", "i", "j").agg((F.count("*") / F.min(F.least("n_i", "n_j"))).alias("score"))
     return c.where(F.col("score") >= least)
 
 

@@ -107,6 +107,12 @@ def test_dice_pairs_broadcast_nothing(spark):
     assert broadcasts(similarity.dice_pairs(df, 0.3, 0.6)) == 0
 
 
+def test_all_pairs_broadcast_nothing(spark):
+    df = spark.createDataFrame(ALIKE, "grp string, pos int, text string")
+    assert broadcasts(similarity.entity_pairs(df)) == 0
+    assert broadcasts(similarity.all_pairs(df)) == 0
+
+
 def test_dedup_vectors(spark):
     cases = [
         ("Накидать смету на вариант со сэндвич-панелями для сравнения стоимости с бетонными плитами", "Накидать смету на замену плит на сэндвич-панели для сравнения стоимости", 1),
