@@ -112,7 +112,7 @@ def greedy_dedup(items: DataFrame, least: float = NEAR) -> DataFrame:
             dropped = []
 
     kind = items.schema["pos"].dataType.simpleString()
-    return items.select("grp", "pos").join(edges.mapInPandas(fold, f"grp string, pos {kind}"), ["grp", "pos"], "left_anti")
+    return items.select("grp", "pos").join(edges.mapInPandas(fold, f"grp string, pos {kind}").hint("merge"), ["grp", "pos"], "left_anti")
 
 
 def resolve_pairs(pairs: DataFrame) -> DataFrame:

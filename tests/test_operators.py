@@ -113,6 +113,11 @@ def test_all_pairs_broadcast_nothing(spark):
     assert broadcasts(similarity.all_pairs(df)) == 0
 
 
+def test_greedy_dedup_broadcasts_nothing(spark):
+    df = spark.createDataFrame(ALIKE, "grp string, pos int, text string")
+    assert broadcasts(similarity.greedy_dedup(df)) == 0
+
+
 def test_dedup_vectors(spark):
     cases = [
         ("Накидать смету на вариант со сэндвич-панелями для сравнения стоимости с бетонными плитами", "Накидать смету на замену плит на сэндвич-панели для сравнения стоимости", 1),
