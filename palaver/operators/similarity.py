@@ -60,18 +60,18 @@ def all_pairs(items: DataFrame) -> DataFrame:
 
 def drop_resembling(items: DataFrame, others: DataFrame, least: float = NEAR) -> DataFrame:
     """Items (grp, pos, text) of a group without those that resemble one of the group's others (grp, text)."""
-    return items.join(resembling(items, others, least), ["grp", "pos"], "left_anti")
+    return items.join(resembling(items, others, least).hint("merge"), ["grp", "pos"], "left_anti")
 
 
 def resembling(items: DataFrame, others: DataFrame, least: float = NEAR) -> DataFrame:
-    """grp, pos of the items with a Dice score of at least ``least`` to one of the group's others."""
+    """grp, pos of the items with a Dice score of at least ``least`` to one of the group's others; all joins are shuffles by hint, as in dice_pairs."""
     bound = least / (2 - least)
     d = items.select("grp", "pos", X.grams(F.col("text")).alias("g")).where(F.size("g") > 0)
     o = others.select("grp", X.grams(F.col("text")).alias("h")).where(F.size("h") > 0).withColumn("o", F.md5(F.array_join(F.array_sort("h"), "\n").cast("binary"))).dropDuplicates(["grp", "o"])
     a = d.select("grp", "pos", F.size("g").alias("n"), F.explode(_prefix("g", least)).alias("k"))
     b = o.select("grp", "o", F.size("h").alias("m"), F.explode(_prefix("h", least)).alias("k"))
-    c = a.join(b, ["grp", "k"]).where(f"least(n, m) >= {bound} * greatest(n, m) - 1e-9").select("grp", "pos", "o").distinct()
-    c = c.join(d, ["grp", "pos"]).join(o, ["grp", "o"])
+    c = a.join(b.hint("merge"), ["grp", "k"]).where(f"least(n, m) >= {bound} * greatest(n, m) - 1e-9").select("grp", "pos", "o").distinct()
+    c = c.join(d.hint("merge"), ["grp", "pos"]).join(o.hint("merge"), ["grp", "o"])
     return c.where(X.dice(F.col("g"), F.col("h")) >= least).select("grp", "pos").distinct()
 
 

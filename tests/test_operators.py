@@ -118,6 +118,12 @@ def test_greedy_dedup_broadcasts_nothing(spark):
     assert broadcasts(similarity.greedy_dedup(df)) == 0
 
 
+def test_drop_resembling_broadcasts_nothing(spark):
+    df = spark.createDataFrame(ALIKE, "grp string, pos int, text string")
+    got = similarity.drop_resembling(df, df.where("pos = 0").select("grp", "text"))
+    assert broadcasts(got) == 0
+
+
 def test_dedup_vectors(spark):
     cases = [
         ("Накидать смету на вариант со сэндвич-панелями для сравнения стоимости с бетонными плитами", "Накидать смету на замену плит на сэндвич-панели для сравнения стоимости", 1),
